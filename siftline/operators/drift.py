@@ -156,13 +156,13 @@ def changes(records: DataFrame, profile: DataFrame | None = None) -> DataFrame:
 
 def _checked(records: DataFrame, likely: DataFrame) -> DataFrame:
     """The matches whose values agree in every record of both files that has both."""
-    r = latest(records)
-    wanted = likely.select("feed", F.explode(F.array("file_no", F.col("file_no") - 1)).alias("file_no")).distinct()
-    c = cells(r.join(wanted, ["feed", "file_no"], "left_semi")).where("value is not null").select("feed", "file_no", "rec_no", "field", canonical(F.col("value")).alias("v"))
-    old = c.join(likely.select("feed", (F.col("file_no") - 1).alias("file_no"), F.col("prior_field").alias("field"), F.col("field").alias("to")), ["feed", "file_no", "field"]).select("feed", (F.col("file_no") + 1).alias("file_no"), "rec_no", F.col("field").alias("prior_field"), F.col("to").alias("field"), F.col("v").alias("v0"))
-    new = c.join(likely, ["feed", "file_no", "field"]).select("feed", "file_no", "rec_no", "prior_field", "field", F.col("v").alias("v1"))
-    met = old.join(new, ["feed", "file_no", "rec_no", "prior_field", "field"]).groupBy("feed", "file_no", "prior_field", "field").agg(F.bool_and(F.col("v0") == F.col("v1")).alias("same"))
-    return met.where("same").drop("same")
+    sides = likely.select("feed", F.explode(F.array(F.struct((F.col("file_no") - 1).alias("file_no"), F.lit(0).alias("side"), F.col("prior_field").alias("name")), F.struct("file_no", F.lit(1).alias("side"), F.col("field").alias("name")))).alias("x"), F.col("file_no").alias("to"), "prior_field", "field")
+    per = sides.groupBy("feed", "x.file_no").agg(F.collect_list(F.struct("x.side", "x.name", "to", "prior_field", "field")).alias("ps"))
+    # only the matched fields' cells are made: few a record, so the records of a file are never joined with each other
+    r = latest(records).join(per, ["feed", "file_no"]).withColumn("m", F.from_json("record", "map<string,string>"))
+    c = r.select("feed", "rec_no", "m", F.explode("ps").alias("p")).select("feed", "rec_no", "p.*", canonical(F.try_element_at("m", F.col("p.name"))).alias("v")).where("v is not null")
+    met = c.groupBy("feed", "to", "rec_no", "prior_field", "field").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("v1")).where("v0 is not null and v1 is not null")
+    return met.groupBy("feed", F.col("to").alias("file_no"), "prior_field", "field").agg(F.bool_and(F.col("v0") == F.col("v1")).alias("same")).where("same").drop("same")
 
 
 def lineage(profile: DataFrame, change: DataFrame, target: list[str]) -> DataFrame:

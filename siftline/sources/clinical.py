@@ -23,6 +23,6 @@ def oasis_subject(mri_id: Column) -> Column:
 
 def oasis_key(subject_id: Column) -> Column:
     """Cohort and number of an OASIS subject id however it is written (blanks, case, separators, leading zeros), e.g. OAS2_43; else null."""
-    m = F.upper(F.regexp_replace(subject_id, r"\s", ""))
-    n = F.regexp_replace(F.regexp_extract(m, r"^OAS([12])[^0-9A-Z]*([0-9]+)$", 2), "^0+(?=.)", "")
-    return F.when(m.rlike(r"^OAS[12][^0-9A-Z]+[0-9]+$"), F.concat(F.lit("OAS"), F.regexp_extract(m, r"^OAS([12])", 1), F.lit("_"), n))
+    m = F.upper(F.regexp_replace(subject_id, "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", ""))
+    shape = "^OAS([12])[^0-9A-Z]*([0-9]+)$"
+    return F.when(m.rlike(shape), F.concat(F.lit("OAS"), F.regexp_extract(m, shape, 1), F.lit("_"), F.regexp_replace(F.regexp_extract(m, shape, 2), "^0+(?=.)", "")))
