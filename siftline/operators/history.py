@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.operators.keyblocks import hot_splits, neighbour, with_block
+from siftline.operators.keyblocks import code, hot_splits, neighbour, with_block
 
 
 def hash_diff(attributes: list[str]) -> Column:
@@ -30,7 +30,7 @@ def split_by_change_rate(records: DataFrame, key: str, at: str, attributes: list
 
     One row of counts comes to the driver.
     """
-    r = with_block(records.where(F.col(key).isNotNull() & F.col(at).isNotNull()), hot_splits(records, [key], _long(records, at)), [key], _long(records, at))
+    r = with_block(records.where(F.col(key).isNotNull() & F.col(at).isNotNull()), hot_splits(records, [key], code(records, at)), [key], code(records, at))
     for i, a in enumerate(attributes):
         r = neighbour(r, [key], [F.col(at), hash_diff(attributes).alias("_h")], F.struct(F.col(a).alias("a")), f"_p{i}")
     row = r.agg(*(F.avg((~F.col(a).eqNullSafe(F.col(f"_p{i}.a"))).cast("int")).alias(f"c{i}") for i, a in enumerate(attributes))).first()
@@ -38,14 +38,10 @@ def split_by_change_rate(records: DataFrame, key: str, at: str, attributes: list
     return [a for a in attributes if rate[a] >= fast], [a for a in attributes if rate[a] < fast]
 
 
-def _long(df: DataFrame, at: str) -> Column:
-    return F.unix_micros(at) if dict(df.dtypes)[at] == "timestamp" else F.unix_micros(F.col(at).cast("timestamp")) if dict(df.dtypes)[at] in ("timestamp_ntz", "date") else F.col(at).cast("long")
-
-
 def satellite(records: DataFrame, key: str, at: str, attributes: list[str], tie: list[Column] | None = None) -> DataFrame:
     """key, valid_from, attributes, hash_diff: the versions, built from snapshots or updates in any order."""
     r = records.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key), F.col(at), *(F.col(f"`{a}`") for a in attributes), hash_diff(attributes).alias("hash_diff"), *((c.alias(f"_t{i}") for i, c in enumerate(tie or []))))
-    order = _long(r, at)
+    order = code(r, at)
     r = with_block(r, hot_splits(records, [key], order), [key], order)
     last = [F.col(f"_t{i}") for i in range(len(tie or []))] + [F.col("hash_diff")]
     # of the records at one time one decides: the last; it is compared with the last of the time before
@@ -63,14 +59,14 @@ def append_snapshot(sat: DataFrame, records: DataFrame, key: str, at: str, attri
     old = sat.select(key, F.col("valid_from").alias(at), *attributes, F.lit(0).alias("_new"))
     new = records.select(key, at, *attributes, F.lit(1).alias("_new"))
     both = old.unionByName(new).where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("hash_diff", hash_diff(attributes))
-    both = with_block(both, hot_splits(both, [key], _long(both, at)), [key], _long(both, at))
+    both = with_block(both, hot_splits(both, [key], code(both, at)), [key], code(both, at))
     both = neighbour(both, [key], [F.col(at), F.col("_new"), F.col("hash_diff")], F.col("hash_diff"), "_before")
     return both.where((F.col("_new") == 1) & (F.col("_before").isNull() | (F.col("_before") != F.col("hash_diff")))).select(key, F.col(at).alias("valid_from"), *attributes, "hash_diff")
 
 
 def version_view(sat: DataFrame, key: str) -> DataFrame:
     """The satellite with valid_to (null: still holds) and is_current; versions equal to the one before are skipped."""
-    order = _long(sat, "valid_from")
+    order = code(sat, "valid_from")
     r = with_block(sat, hot_splits(sat, [key], order), [key], order)
     r = neighbour(r, [key], [F.col("valid_from"), F.col("hash_diff")], F.col("hash_diff"), "_before").where(F.col("_before").isNull() | (F.col("_before") != F.col("hash_diff")))
     r = neighbour(r, [key], [F.col("valid_from"), F.col("hash_diff")], F.col("valid_from"), "valid_to", ahead=True)

@@ -18,8 +18,8 @@ MIN_ROWS, MAX_HOT, PIECES = 20_000, 500, 48
 
 
 def hot_splits(rows: DataFrame, keys: list[str], order: Column, min_rows: int = MIN_ROWS, max_hot: int = MAX_HOT, pieces: int = PIECES) -> DataFrame:
-    """keys, ``_splits`` (array<bigint>): the inner borders of each hot key; at most max_hot rows."""
-    rows = rows.select(*keys, order.cast("long").alias("_o")).where(F.col("_o").isNotNull())
+    """keys, ``_splits`` (array of the order's numeric type): the inner borders of each hot key; at most max_hot rows."""
+    rows = rows.select(*keys, order.alias("_o")).where(F.col("_o").isNotNull())
     hot = rows.groupBy(*keys).count().where(F.col("count") >= min_rows).orderBy(F.col("count").desc(), *keys).limit(max_hot).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
     at = [k / pieces for k in range(1, pieces)]
     same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(hot[f"_k{i}"]) for i, k in enumerate(keys)])
@@ -30,7 +30,7 @@ def with_block(df: DataFrame, splits: DataFrame, keys: list[str], order: Column)
     """df with ``_blk`` (int, 0 for keys that aren't hot) and ``_hot``; a null order is in block 0."""
     s = splits.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_splits")
     same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(s[f"_k{i}"]) for i, k in enumerate(keys)])
-    o = order.cast("long")
+    o = order
     return df.join(F.broadcast(s), same, "left").withColumns({"_hot": F.col("_splits").isNotNull(), "_blk": F.coalesce(F.size(F.filter("_splits", lambda x: x < o)), F.lit(0))}).withColumn("_blk", F.greatest("_blk", F.lit(0))).drop("_splits", *(f"_k{i}" for i in range(len(keys))))
 
 
@@ -50,3 +50,30 @@ def neighbour(df: DataFrame, keys: list[str], order: list[Column], value: Column
     ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_blk").alias("_b"), (F.lead if ahead else F.lag)("_e").over(over).alias("_c"))
     same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(ends[f"_k{i}"]) for i, k in enumerate(keys)]) & (df["_blk"] == ends["_b"])
     return df.join(F.broadcast(ends), same, "left").withColumn(name, F.coalesce("_n", "_c")["v"]).drop("_n", "_c", "_b", *(f"_k{i}" for i in range(len(keys))))
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, how: str = "sum", itself: bool = True) -> DataFrame:
+    """df (from with_block) with ``name``: the sum, min or max of value over the key's rows up to each row (without it, if not itself)."""
+    f = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    df = df.withColumn("_n", f(value).over(w))
+    ends = df.where("_hot").groupBy(*keys, "_blk").agg(f(value).alias("_e"))
+    over = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_blk").alias("_b"), f("_e").over(over).alias("_c"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]) & (F.col("_blk") == F.col("_b"))
+    both = F.coalesce(F.col("_n") + F.col("_c"), "_n", "_c") if how == "sum" else (F.least if how == "min" else F.greatest)("_n", "_c")
+    return df.join(F.broadcast(ends), same, "left").withColumn(name, both).drop("_n", "_c", "_b", *(f"_k{i}" for i in range(len(keys))))
+
+
+def blocked(df: DataFrame, keys: list[str], order: Column, **bounds: int) -> DataFrame:
+    """df with ``_blk`` and ``_hot``, its hot keys found in itself."""
+    return with_block(df, hot_splits(df, keys, order, **bounds), keys, order)
+
+
+def code(df: DataFrame, column: str) -> Column:
+    """A number that never falls along the order of the column: a text's first seven bytes, a time's microseconds, a number itself."""
+    kind = dict(df.dtypes)[column]
+    c = F.col(column)
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return F.unix_micros(c.cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else c
