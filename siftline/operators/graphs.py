@@ -104,7 +104,7 @@ def over_representation(sets: DataFrame, query: DataFrame) -> DataFrame:
     a, b, c = F.col("overlap"), F.col("size") - F.col("overlap"), F.col("drawn") - F.col("overlap")
     d = F.col("universe") - F.col("size") - c
     t = t.withColumns({"p": F.least("p", F.lit(1.0)), "odds": F.when(b * c == 0, F.lit(float("inf"))).otherwise(a * d / (b * c)), "_all": F.lit(0)})
-    return benjamini_hochberg(t, ["_all"], "p").withColumn("q", F.greatest("q", "p")).drop("_all")
+    return benjamini_hochberg(cut(t), ["_all"], "p").withColumn("q", F.greatest("q", "p")).drop("_all")
 
 
 def composite(df: DataFrame, weights: dict[str, float], name: str = "score") -> DataFrame:

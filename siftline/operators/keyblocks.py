@@ -14,7 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_ROWS, MAX_HOT, PIECES = 20_000, 500, 48
+from siftline.session import cut
+
+MIN_ROWS, MAX_HOT, PIECES = 8_000, 500, 48
 
 
 def hot_splits(rows: DataFrame, keys: list[str], order: Column, min_rows: int = MIN_ROWS, max_hot: int = MAX_HOT, pieces: int = PIECES) -> DataFrame:
@@ -42,7 +44,9 @@ def neighbour(df: DataFrame, keys: list[str], order: list[Column], value: Column
     """
     w = Window.partitionBy(*keys, "_blk").orderBy(*order)
     step = (F.lead if ahead else F.lag)(F.struct(value.alias("v")))
-    df = df.withColumns({"_n": step.over(w)})
+    if "_hot" not in df.columns:
+        return df.withColumn(name, step.over(w)["v"])
+    df = df.withColumn("_n", step.over(w))
     at = F.struct(*order)
     pick = (F.min_by if ahead else F.max_by)(F.struct(value.alias("v")), at)
     ends = df.where("_hot").groupBy(*keys, "_blk").agg(pick.alias("_e"))
@@ -56,6 +60,8 @@ def running(df: DataFrame, keys: list[str], order: list[Column], value: Column,
     """df (from with_block) with ``name``: the sum, min or max of value over the key's rows up to each row (without it, if not itself)."""
     f = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     w = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    if "_hot" not in df.columns:
+        return df.withColumn(name, f(value).over(w))
     df = df.withColumn("_n", f(value).over(w))
     ends = df.where("_hot").groupBy(*keys, "_blk").agg(f(value).alias("_e"))
     over = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,8 +72,14 @@ def running(df: DataFrame, keys: list[str], order: list[Column], value: Column,
 
 
 def blocked(df: DataFrame, keys: list[str], order: Column, **bounds: int) -> DataFrame:
-    """df with ``_blk`` and ``_hot``, its hot keys found in itself."""
-    return with_block(df, hot_splits(df, keys, order, **bounds), keys, order)
+    """df with ``_blk``, its hot keys found in itself.
+
+    df is written to the checkpoint folder once, as it is read several times from here on. Where no key is hot
+    there is one block and no ``_hot``, and what follows needs neither summaries nor joins.
+    """
+    df = cut(df)
+    hot = cut(hot_splits(df, keys, order, **bounds))
+    return df.withColumn("_blk", F.lit(0)) if hot.isEmpty() else with_block(df, hot, keys, order)
 
 
 def code(df: DataFrame, column: str) -> Column:

@@ -95,7 +95,6 @@ def quantile_strata(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
 def delong(df: DataFrame, keys: list[str], label: Column, a: str, b: str) -> DataFrame:
     """keys, auc_a, auc_b, z: the paired test of two scores' areas, from each row's placement among the other class."""
     v = df.select(*keys, label.cast("int").alias("_y"), F.col(a).cast("double").alias("_sa"), F.col(b).cast("double").alias("_sb")).where("_y is not null and _sa is not null and _sb is not null")
-    v = v.withColumn("_id", F.monotonically_increasing_id())
     n = v.groupBy(*keys).agg(F.sum("_y").alias("m"), F.sum(1 - F.col("_y")).alias("n"))
     for s in ("_sa", "_sb"):
         c = v.groupBy(*keys, s).agg(F.sum("_y").alias("p"), F.sum(1 - F.col("_y")).alias("q"))
