@@ -51,8 +51,10 @@ def total(df: DataFrame, f: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"v": [np.sum(np.stack(pdf["v"].to_list()), axis=0)]})
 
-    parts = df.mapInPandas(part, "v array<double>").withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(16)))
-    rows = parts.groupBy("slot").applyInPandas(add, "v array<double>").collect()  # at most 16 arrays
+    parts = df.mapInPandas(part, "v array<double>")
+    if df.rdd.getNumPartitions() > 16:
+        parts = parts.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("slot").applyInPandas(add, "v array<double>")
+    rows = parts.collect()  # at most 16 arrays
     return np.sum([np.array(r["v"]) for r in rows], axis=0) if rows else np.zeros(0)
 
 
