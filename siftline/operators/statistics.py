@@ -15,6 +15,11 @@ from siftline.session import beside, number
 Z95 = 1.959963984540054  # fixed value: the normal quantile of a two-sided 95 % interval
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate over rows that have both; null without variance, where corr would fail."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def eta_squared(df: DataFrame, group: str, value: str, keys: list[str] | None = None) -> DataFrame:
     """keys, n, groups, eta2: share of the value's variance that lies between groups."""
     keys = keys or []
@@ -26,8 +31,8 @@ def eta_squared(df: DataFrame, group: str, value: str, keys: list[str] | None =
 def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least: int = 20) -> DataFrame:
     """keys, n, r, lo, hi: correlation of complete pairs with Fisher's 95 % interval, from ``least`` pairs on; r2 from 3 on."""
     keys = keys or []
-    p = df.select(*keys, number(x).alias("_x"), number(y).alias("_y")).where("_x is not null and _y is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("_r"))
-    r = F.when(~F.isnan("_r"), F.col("_r"))
+    p = df.select(*keys, number(x).alias("_x"), number(y).alias("_y")).where("_x is not null and _y is not null").groupBy(*keys).agg(F.count("*").alias("n"), correlation("_x", "_y").alias("_r"))
+    r = F.col("_r")
     z, half = F.atanh(F.least(F.greatest(r, F.lit(-0.999999)), F.lit(0.999999))), F.lit(Z95) / F.sqrt(F.col("n") - 3)
     ok = F.col("n") >= least
     return p.select(*keys, "n", F.when(F.col("n") >= 3, r * r).alias("r2"), F.when(ok, r).alias("r"), F.when(ok, F.tanh(z - half)).alias("lo"), F.when(ok, F.tanh(z + half)).alias("hi"))

@@ -147,7 +147,7 @@ i AS (SELECT *, count(*) OVER (PARTITION BY dim) m, rank() OVER (PARTITION BY di
 SELECT site, dim, p, round(min(least(1, p * m / i)) OVER (PARTITION BY dim ORDER BY p DESC ROWS UNBOUNDED PRECEDING), 6) AS q FROM i""")
 def rank_benjamini_hochberg(spark: SparkSession, d: str) -> DataFrame:
     c = co.contract(spark, d).where("site is not null and nfl is not null").select("site", "nfl", F.posexplode("emb").alias("dim", "x"))
-    t = c.groupBy("site", "dim").agg(F.count("*").alias("n"), F.corr("x", "nfl").alias("r")).where("n >= 3 and r is not null and not isnan(r)")
+    t = c.groupBy("site", "dim").agg(F.count("*").alias("n"), statistics.correlation("x", "nfl").alias("r")).where("n >= 3 and r is not null")
     t = t.select("site", "dim", R(F.least(F.lit(1.0), 2 * F.exp(-F.abs("r") * F.sqrt("n"))), 9).alias("p"))
     return _round(ranks.benjamini_hochberg(t, ["dim"], "p"), "q")
 
