@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Diagnosis names and the visit name of the baseline, as numbers.
 CODES = {"cn": 1, "mci": 2, "dementia": 3, "ad": 3, "bl": 0, "true": 1, "false": 0}
 
 
+def micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a date or time column; wall-clock times count as they stand, whatever the session's time zone."""
+    kind, c = dict(df.dtypes)[column], F.col(column)
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    day = F.unix_date(c.cast("date")).cast("long") * 86_400_000_000
+    if kind == "date":
+        return day
+    return day + (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
 def moment(v: Column) -> Column:
-    """A timestamp from ISO dates and times, M/d/yyyy, dMMMyyyy, yyyyMMdd and epoch seconds or milliseconds; else null."""
+    """A timestamp without zone from ISO dates and times, M/d/yyyy, dMMMyyyy, yyyyMMdd and epoch seconds or milliseconds (UTC); else null."""
     s = F.lower(F.trim(v))
     n = F.regexp_replace(s, r"\.0+$", "")
+    day = lambda text, form: F.try_to_timestamp(text, F.lit(form)).cast("date").cast("timestamp_ntz")
+    since = lambda seconds: F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
     return (
-        F.when(s.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
-        .when(s.rlike(r"^\d{4}-\d\d-\d\d[t ]\d\d:\d\d"), s.try_cast("timestamp"))
-        .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(s, F.lit("M/d/yyyy")))
-        .when(s.rlike(r"^\d{1,2}[a-z]{3}\d{4}$"), F.try_to_timestamp(F.initcap(F.regexp_replace(s, r"^(\d+)", "$1 ")), F.lit("d MMMyyyy")))
-        .when(n.rlike(r"^(19|20)\d{6}$"), F.try_to_timestamp(n, F.lit("yyyyMMdd")))
-        .when(n.rlike(r"^-?\d{9,10}$"), F.timestamp_seconds(n.try_cast("long")))
-        .when(n.rlike(r"^-?\d{12,13}$"), F.timestamp_millis(n.try_cast("long")))
+        F.when(s.rlike(r"^\d{4}-\d\d-\d\d$"), day(s, "yyyy-MM-dd"))
+        .when(s.rlike(r"^\d{4}-\d\d-\d\d[t ]\d\d:\d\d"), F.upper(s).try_cast("timestamp_ntz"))
+        .when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), day(s, "M/d/yyyy"))
+        .when(s.rlike(r"^\d{1,2}[a-z]{3}\d{4}$"), day(F.initcap(F.regexp_replace(s, r"^(\d+)", "$1 ")), "d MMMyyyy"))
+        .when(n.rlike(r"^(19|20)\d{6}$"), day(n, "yyyyMMdd"))
+        .when(n.rlike(r"^-?\d{9,10}$"), since(n.try_cast("decimal(18,6)")))
+        .when(n.rlike(r"^-?\d{12,13}$"), since((n.try_cast("decimal(18,3)") / 1000).cast("decimal(18,6)")))
     )
 
 

@@ -28,42 +28,48 @@ def normalised(edges: DataFrame) -> DataFrame:
     return edges.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("d").alias("d2")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("d2"))).alias("w"))
 
 
-def _steps(edges: DataFrame, seeds: DataFrame, n: int, step, every: int = 8) -> DataFrame:
-    w = cut(normalised(edges).repartition("src"))  # partitioned once for all steps
-    nodes = w.select(F.col("src").alias("node")).distinct()
-    s = nodes.join(seeds.select(F.col(seeds.columns[0]).alias("node"), F.lit(1.0).alias("s")).distinct(), "node", "left")
-    s = cut(beside(s, s.agg(F.sum("s").alias("all"))).select("node", F.coalesce(F.col("s") / F.col("all"), F.lit(0.0)).alias("s")))
-    cur, total = s.withColumnRenamed("s", "p"), s.select("node", "s", F.col("s").alias("out"))
-    for k in range(n):
-        pushed = w.join(cur, w["src"] == cur["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("p")).alias("q"))
-        total = total.join(pushed, "node", "left").withColumn("q", F.coalesce("q", F.lit(0.0)))
-        cur, total = step(k, total)
-        if (k + 1) % every == 0 or k == n - 1:
-            total = cut(total)
-            cur = total.select("node", F.col("p"))
-    return total
-
-
-def walk_with_restart(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, steps: int = 24) -> DataFrame:
+def _start(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges partitioned by source once for all steps, nodes, (node, p) with the seeds' equal shares)."""
+    w = cut(normalised(edges).repartition("src"))
+    nodes = cut(w.select(F.col("src").alias("node")).distinct())
+    s = nodes.join(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct(), "node", "left_semi")
+    return w, nodes, cut(beside(s, s.agg(F.count("*").alias("n"))).select("node", (1 / F.col("n")).alias("p")))
+
+
+def _push(w: DataFrame, cur: DataFrame, factor: float) -> DataFrame:
+    """What each node sends along its edges, as (node, p); not added up yet."""
+    return w.join(cur, w["src"] == cur["node"]).select(F.col("dst").alias("node"), (F.col("w") * F.col("p") * factor).alias("p"))
+
+
+def _scores(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return nodes.join(found, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("score"))
+
+
+def walk_with_restart(edges: DataFrame, seeds: DataFrame, restart: float = 0.5, steps: int = 24, every: int = 6) -> DataFrame:
     """node, score: fixed point of p = restart * s + (1 - restart) * W p from uniform seeds; the error is at most (1 - restart)^steps.
 
+    A step is one join, whose sides are partitioned alike, and one sum over what was sent and the restart.
     Seeds that aren't in the graph are ignored; without any, all scores are 0.
     """
+    w, nodes, s = _start(edges, seeds)
+    back, cur = s.select("node", (F.col("p") * restart).alias("p")), s
+    for k in range(steps):
+        cur = _push(w, cur, 1 - restart).union(back).groupBy("node").agg(F.sum("p").alias("p"))
+        if (k + 1) % every == 0:
+            cur = cut(cur)
+    return _scores(nodes, cur)
 
-    def step(k: int, t: DataFrame):
-        t = t.withColumn("p", restart * F.col("s") + (1 - restart) * F.col("q")).select("node", "s", "p", F.col("p").alias("out"))
-        return t.select("node", "p"), t
-
-    return _steps(edges, seeds, steps, step).select("node", F.col("out").alias("score"))
 
-
-def heat_diffusion(edges: DataFrame, seeds: DataFrame, t: float = 0.5, steps: int = 14) -> DataFrame:
+def heat_diffusion(edges: DataFrame, seeds: DataFrame, t: float = 0.5, steps: int = 14, every: int = 4) -> DataFrame:
     """node, score: exp(-t (I - W)) s, by its series exp(-t) sum of (t W)^k / k! s."""
-    def step(k: int, x: DataFrame):
-        x = x.withColumn("p", F.col("q") * t / (k + 1)).select("node", "s", "p", (F.col("out") + F.col("p")).alias("out"))
-        return x.select("node", "p"), x
-
-    return _steps(edges, seeds, steps, step).select("node", (F.col("out") * math.exp(-t)).alias("score"))
+    w, nodes, cur = _start(edges, seeds)
+    terms = cur
+    for k in range(steps):
+        cur = _push(w, cur, t / (k + 1)).groupBy("node").agg(F.sum("p").alias("p"))
+        terms = terms.union(cur)
+        if (k + 1) % every == 0:
+            cur, terms = cut(cur), cut(terms.groupBy("node").agg(F.sum("p").alias("p")))
+    return _scores(nodes, terms.groupBy("node").agg((F.sum("p") * math.exp(-t)).alias("p")))
 
 
 def hubs(edges: DataFrame, scores: DataFrame, seeds: DataFrame, top: int = 25) -> DataFrame:

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions.notation import micros
 from siftline.session import cut
 
 MIN_ROWS, MAX_HOT, PIECES = 8_000, 500, 48
@@ -88,4 +89,4 @@ def code(df: DataFrame, column: str) -> Column:
     c = F.col(column)
     if kind == "string":
         return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return F.unix_micros(c.cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else c
+    return micros(df, column) if kind in ("timestamp", "timestamp_ntz", "date") else c

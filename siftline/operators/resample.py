@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.operators.keyblocks import blocked, running
 from siftline.operators.ranks import hash_unit, rank_auc
 from siftline.session import beside
 
+ONE_TASK = 50_000
+
 
 def replicate(df: DataFrame, n: int) -> DataFrame:
     """Each row n times, with ``rep`` from 0."""
@@ -51,10 +53,14 @@ def interval(reps: DataFrame, value: str, keys: list[str] | None = None) -> Data
     return reps.where(F.col(value).isNotNull()).groupBy(*(keys or [])).agg(F.count("*").alias("reps"), F.percentile(value, 0.025).alias("lo"), F.percentile(value, 0.975).alias("hi"))
 
 
-def ranked_by_hash(df: DataFrame, keys: list[str], h: Column, tie: Column) -> DataFrame:
-    """df with ``hash_rank``, its exact rank by (h in [0, 1), tie) within the key: counts of hash ranges and ranks within them, so that no key is ordered in one task."""
-    from pyspark.sql import Window
+def ranked_by_hash(df: DataFrame, keys: list[str], h: Column, tie: Column, largest: int | None = None) -> DataFrame:
+    """df with ``hash_rank``, its exact rank by (h in [0, 1), tie) within the key.
 
+    Counts of hash ranges and ranks within them, so that no key is ordered in one task; only where the caller
+    has found that no key holds more than ONE_TASK rows (``largest``), a plain window does.
+    """
+    if largest is not None and largest <= ONE_TASK:
+        return df.withColumn("_h", h).withColumn("hash_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", tie))).drop("_h")
     df = df.withColumns({"_h": h, "_range": F.floor(h * 256).cast("int")})
     counts = df.groupBy(*keys, "_range").count()
     before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
@@ -65,9 +71,10 @@ def ranked_by_hash(df: DataFrame, keys: list[str], h: Column, tie: Column) -> Da
 def permuted_auc(df: DataFrame, id_: str, score: str, label: Column, group: str | None, n: int = 50) -> DataFrame:
     """rep, auc: labels shuffled within groups (all rows are one group without), keeping each group's number of positives."""
     v = df.select(F.col(id_).alias("_id"), F.col(score).alias("_sc"), label.cast("int").alias("_l"), (F.col(group).cast("string") if group else F.lit("")).alias("_g")).where("_id is not null and _sc is not null and _l is not null").withColumn("_g", F.coalesce("_g", F.lit("__na__")))
-    pos = v.groupBy("_g").agg(F.sum("_l").alias("_k"))
-    r = replicate(v.drop("_l").join(pos, "_g"), n)
-    r = ranked_by_hash(r, ["rep", "_g"], hash_unit(F.col("_id").cast("string"), F.lit("p"), F.col("rep").cast("string")), F.col("_id"))
+    pos = v.groupBy("_g").agg(F.sum("_l").alias("_k"), F.count("*").alias("_n"))
+    largest = pos.agg(F.max("_n")).first()[0] or 0
+    r = replicate(v.drop("_l").join(pos.drop("_n"), "_g"), n)
+    r = ranked_by_hash(r, ["rep", "_g"], hash_unit(F.col("_id").cast("string"), F.lit("p"), F.col("rep").cast("string")), F.col("_id"), largest)
     return rank_auc(r, ["rep"], "_sc", F.col("hash_rank") <= F.col("_k")).select("rep", "auc")
 
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.notation import micros
 from siftline.operators.ranks import serial
 from siftline.operators.statistics import z_scores
 from siftline.session import beside, number
@@ -82,7 +83,7 @@ def slug(c: Column) -> Column:
 def nearest_to_anchor(anchor: DataFrame, rows: DataFrame, key: str, at: str, time: str, id_: str) -> DataFrame:
     """For each key of anchor the row nearest in time to it, of equal distances the earlier, then the smaller id; without an anchor time the earliest row. Adds gap_days."""
     j = rows.join(anchor.select(key, F.col(at).alias("_at")), key)
-    gap = F.coalesce(F.abs(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))), F.lit(0))
+    gap = F.coalesce(F.abs(micros(j, time) - micros(j, "_at")), F.lit(0))
     first = F.min_by(F.struct(id_, time, "_at"), F.struct(gap.alias("g"), F.col(time), F.col(id_)))
     return j.where(F.col(time).isNotNull()).groupBy(key).agg(first.alias("x")).select(key, f"x.{id_}", f"x.{time}", F.abs(F.date_diff(F.col(f"x.{time}"), F.col("x._at"))).alias("gap_days"))
 

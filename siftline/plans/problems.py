@@ -21,9 +21,8 @@ def _oasis_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _versions(adni: DataFrame, oasis: DataFrame, *more: str) -> DataFrame:
-    stamp = "yyyy-MM-dd HH:mm:ss"
     as_text = lambda d, cohort, f: d.select(F.lit(cohort).alias("cohort"), F.col("subject").cast("string").alias("subject"), *(f(c).alias(c) for c in ("valid_from", *(m for m in more if m == "valid_to"))), "state", *(m for m in more if m != "valid_to"))
-    return as_text(adni, "adni", lambda c: F.date_format(c, stamp)).unionByName(as_text(oasis, "oasis", lambda c: F.col(c).cast("string")))
+    return as_text(adni, "adni", lambda c: F.substring(F.col(c).cast("string"), 1, 19)).unionByName(as_text(oasis, "oasis", lambda c: F.col(c).cast("string")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

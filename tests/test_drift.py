@@ -117,3 +117,20 @@ def test_assignment_is_best():
     w = [[0.9, 0.8, 0.0], [0.9, 0.1, 0.0]]
     assert drift.assign(w) == [1, 0]
     assert drift.assign([[0.0], [0.5]]) == [-1, 0]
+
+
+def test_notation_in_any_zone(spark):
+    from pyspark.sql import functions as F
+
+    from siftline.functions.notation import canonical, micros, moment
+
+    same = [("2013-09-18T11:22:15", "1379503335"), ("2007-12-13", "12/13/2007"), ("08Apr2006", "2006-04-08T00:00:00"), ("20070331", "1175299200000"), ("m06", "6.0"), ("Dementia", "3"), ("true", "1"), ("003", "3.0"), (" a ", "A")]
+    df = spark.createDataFrame(same, "a string, b string")
+    for zone in ("America/Sao_Paulo", "Asia/Kathmandu", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert df.where(canonical(F.col("a")) != canonical(F.col("b"))).count() == 0
+            t = df.select(moment(F.col("a")).alias("t"))
+            assert t.select(micros(t, "t")).first()[0] == 1379503335_000_000
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
