@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions.notation import micros
 from siftline.operators.keyblocks import hot_splits, with_block
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -169,7 +170,7 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, time: str, left_id
     """
     whole = dict(left.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") and dict(right.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     k = F.col(key).cast("long") if whole else F.xxhash64(F.col(key).cast("string"))
-    slim = lambda d, i: d.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(k.alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), (F.col(i).cast("long") if i else F.lit(0)).alias("id")).where("id is not null")
+    slim = lambda d, i: d.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(k.alias("k"), micros(d, time).alias("t"), (F.col(i).cast("long") if i else F.lit(0)).alias("id")).where("id is not null")
     a, b = slim(left, left_id), slim(right, right_id)
     s = hot_splits((slim(stats[0], None).union(slim(stats[1], None)) if stats else a.union(b)).select("k", "t"), ["k"], F.col("t"))
     a = with_block(a, s, ["k"], F.col("t"))
