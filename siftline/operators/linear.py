@@ -124,8 +124,8 @@ def moments(df: DataFrame, width: int, covariates: int, k: int, reps: int) -> tu
     return fill, (p if len(p) else np.zeros(reps * k * (m + 1) ** 2)).reshape(reps, k, m + 1, m + 1)
 
 
-def scale_of(fill: np.ndarray, g: np.ndarray, covariates: int, pca: int = 0) -> Scale:
-    """The scale of a set of rows with cross-products g."""
+def scale_of(fill: np.ndarray, g: np.ndarray, covariates: int, pca: int = 0, without: np.ndarray | None = None) -> Scale:
+    """The scale of a set of rows with cross-products g; without (orthonormal columns): directions to project out first."""
     q = 1 + covariates
     n = max(g[0, 0], 1.0)
     if covariates:
@@ -135,10 +135,12 @@ def scale_of(fill: np.ndarray, g: np.ndarray, covariates: int, pca: int = 0) ->
     else:
         beta, centre = np.zeros((1, g.shape[0] - 1)), g[0, 1:] / n
         cov = g[1:, 1:] / n - np.outer(centre, centre)
+    left = np.eye(len(cov)) - (without @ without.T if without is not None else 0)
+    cov = left @ cov @ left
     dev = np.sqrt(np.maximum(np.diag(cov), 0))
-    turn = np.diag(1 / np.where(dev > 1e-12, dev, 1.0))
+    turn = left @ np.diag(1 / np.where(dev > 1e-9, dev, 1.0))
     if pca:
-        val, vec = np.linalg.eigh(turn @ cov @ turn)
+        val, vec = np.linalg.eigh(turn.T @ cov @ turn)
         top = np.argsort(-val)[:pca]
         turn = turn @ vec[:, top] / np.sqrt(np.maximum(val[top], 1e-12))
     return Scale(fill, beta, centre, turn)
@@ -156,14 +158,17 @@ class Models:
     weights: np.ndarray  # (class, rep, fold, 1 + width), NaN where there is no model
 
 
-def fit_logistic(df: DataFrame, width: int, covariates: int, k: int, reps: int, classes: list[int], c: float = 1.0, steps: int = 12) -> Models:
-    """Balanced L2 logistic models of each class against the rest, trained on all folds but one. df: x, c, y, fold (checkpointed)."""
+def fit_logistic(df: DataFrame, width: int, covariates: int, k: int, reps: int, classes: list[int], c: float = 1.0, steps: int = 12, without: Callable[[int, int], np.ndarray] | None = None) -> Models:
+    """Balanced L2 logistic models of each class against the rest, trained on all folds but one. df: x, c, y, fold (checkpointed).
+
+    without gives the directions to project out of the features for the training set that lacks (repeat, fold).
+    """
     fill, g = moments(df, width, covariates, k, reps)
     scales = np.empty((reps, k), object)
     for r in range(reps):
         for j in range(k):
             train = g[r].sum(0) - g[r, j]
-            scales[r, j] = scale_of(fill, train, covariates, auto_pca(train[0, 0], width))
+            scales[r, j] = scale_of(fill, train, covariates, auto_pca(train[0, 0], width), without(r, j) if without else None)
     dims = scales[0, 0].turn.shape[1]
 
     def count(b: pd.DataFrame) -> np.ndarray:
@@ -286,3 +291,39 @@ def ridge_r2(df: DataFrame, width: int, k: int, alphas: np.ndarray) -> tuple[flo
         best = max(best, (1 - sse / sst, alpha))
     w, sub = solve(all_, best[1])
     return best[0], w[1:], alphas, float(w[0]), sub
+
+
+def batch_directions(df: DataFrame, width: int, k: int, classes: list[str], most: int = 2) -> list[np.ndarray]:
+    """For each fold the at most ``most`` orthonormal directions that tell the batches apart in the other folds (linear discriminants of scaled features).
+
+    df: x, b (batch, one of classes), fold. One pass: counts and sums by fold and batch, and cross-products by fold.
+    """
+    at = {c: i for i, c in enumerate(classes)}
+
+    def sums(pdf: pd.DataFrame) -> np.ndarray:
+        v, f = np.nan_to_num(matrix(pdf["x"], width)), np.stack(pdf["fold"].to_list())[:, 0]
+        b = pdf["b"].map(at).to_numpy()
+        v = np.column_stack([np.ones(len(v)), v])
+        one = np.zeros((k, len(classes), width + 1))
+        np.add.at(one, (f, b), v)
+        return np.concatenate([one.ravel(), *((v[f == j].T @ v[f == j]).ravel() for j in range(k))])
+
+    s = total(df.select("x", "b", "fold"), sums)
+    means = s[: k * len(classes) * (width + 1)].reshape(k, len(classes), width + 1)
+    gram = s[k * len(classes) * (width + 1) :].reshape(k, width + 1, width + 1)
+    out = []
+    for j in range(k):
+        m, g = means.sum(0) - means[j], gram.sum(0) - gram[j]
+        m = m[m[:, 0] > 0]
+        n = g[0, 0]
+        mu = g[0, 1:] / n
+        sd = np.sqrt(np.maximum(np.diag(g)[1:] / n - mu**2, 1e-12))
+        centre = m[:, 1:] / m[:, :1]
+        within = (g[1:, 1:] - (centre * m[:, :1]).T @ centre) / n / np.outer(sd, sd) + 1e-6 * np.eye(width)
+        between = ((centre - mu) * m[:, :1]).T @ (centre - mu) / n / np.outer(sd, sd)
+        val, vec = np.linalg.eigh(within)
+        half = vec / np.sqrt(np.maximum(val, 1e-9))
+        _, top = np.linalg.eigh(half.T @ between @ half)
+        scal = (half @ top[:, ::-1])[:, : min(most, len(m) - 1)] / sd[:, None]
+        out.append(np.linalg.qr(scal)[0] if scal.shape[1] else np.zeros((width, 0)))
+    return out

@@ -225,7 +225,15 @@ def resample_delong(spark: SparkSession, d: str) -> DataFrame:
     return _round(resample.delong(c, ["all"], F.when(F.col("dx") == "AD", 1).otherwise(0), "nfl", "gfap"), "auc_a", "auc_b", "z").drop("all")
 
 
-@query("enrich_over_representation")
+_LC = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - ({1}) + 1))"
+
+
+@query("enrich_over_representation", f"""WITH q AS (SELECT l_partkey AS item FROM lineitem GROUP BY 1 HAVING avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) >= 0.5), s AS (SELECT p_brand AS set_id, p_partkey AS item FROM part),
+u AS (SELECT count(*) AS universe FROM (SELECT item FROM s UNION SELECT item FROM q)), n AS (SELECT set_id, count(*) AS size, count(q.item) AS overlap FROM s LEFT JOIN q USING (item) GROUP BY set_id HAVING count(q.item) > 0), x AS (SELECT n.*, universe, (SELECT count(*) FROM q) AS drawn FROM n, u),
+t AS (SELECT *, unnest(range(overlap, least(size, drawn) + 1)) AS i FROM x), p AS (SELECT set_id, size, overlap, universe, drawn, least(1, sum(exp({_LC.format('size', 'i')} + {_LC.format('(universe - size)', '(drawn - i)')} - {_LC.format('universe', 'drawn')}))) AS p FROM t WHERE drawn - i <= universe - size GROUP BY ALL),
+k AS (SELECT *, count(*) OVER () AS m, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS i FROM p)
+SELECT set_id, size, overlap, universe, drawn, round(p, 6) AS p, round(greatest(p, min(least(1, p * m / i)) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), 6) AS q,
+ round(CASE WHEN (size - overlap) * (drawn - overlap) = 0 THEN 'inf'::DOUBLE ELSE overlap * (universe - size - drawn + overlap) / ((size - overlap) * (drawn - overlap)) END, 6) AS odds FROM k""")
 def enrich_over_representation(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers' parts against the parts of much returned lines."""
     li = table(spark, d, "lineitem")
