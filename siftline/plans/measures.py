@@ -45,7 +45,7 @@ def stat_eta_squared(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stat_pearson", f"""WITH {_C}, p AS (SELECT dx, count(*) n, corr(p_tau217, gfap) r FROM c WHERE p_tau217 IS NOT NULL AND gfap IS NOT NULL AND dx IS NOT NULL GROUP BY dx)
-SELECT dx, n, round(r * r, 6) AS r2, round(r, 6) AS r, round(tanh(atanh(r) - {statistics.Z95} / sqrt(n - 3)), 6) AS lo, round(tanh(atanh(r) + {statistics.Z95} / sqrt(n - 3)), 6) AS hi FROM p""")
+SELECT dx, n, CASE WHEN n >= 3 THEN round(r * r, 6) END AS r2, CASE WHEN n >= 20 THEN round(r, 6) END AS r, CASE WHEN n >= 20 THEN round(tanh(atanh(r) - {statistics.Z95} / sqrt(n - 3)), 6) END AS lo, CASE WHEN n >= 20 THEN round(tanh(atanh(r) + {statistics.Z95} / sqrt(n - 3)), 6) END AS hi FROM p""")
 def stat_pearson(spark: SparkSession, d: str) -> DataFrame:
     return _round(statistics.pearson(co.contract(spark, d).where("dx is not null"), "p_tau217", "gfap", ["dx"]), "r2", "r", "lo", "hi")
 
@@ -328,7 +328,7 @@ def ledger_next(spark: SparkSession, d: str) -> DataFrame:
     return next_arm(posterior(led))
 
 
-@query("stat_dominant_marker", f"""WITH {_C}, s AS (SELECT site, (avg(gfap) FILTER (dx = 'AD') - avg(gfap) FILTER (dx = 'CN')) / stddev_samp(gfap) AS gfap, (avg(nfl) FILTER (dx = 'AD') - avg(nfl) FILTER (dx = 'CN')) / stddev_samp(nfl) AS nfl FROM c WHERE dx IN ('AD', 'CN') AND site IS NOT NULL GROUP BY site)
+@query("stat_dominant_marker", f"""WITH {_C}, s AS (SELECT site, (avg(gfap) FILTER (dx = 'AD') - avg(gfap) FILTER (dx = 'CN')) / nullif(stddev_samp(gfap), 0) AS gfap, (avg(nfl) FILTER (dx = 'AD') - avg(nfl) FILTER (dx = 'CN')) / nullif(stddev_samp(nfl), 0) AS nfl FROM c WHERE dx IN ('AD', 'CN') AND site IS NOT NULL GROUP BY site)
 SELECT site, CASE WHEN gfap IS NULL OR nfl IS NULL THEN NULL WHEN abs(gfap) >= abs(nfl) THEN 'gfap' ELSE 'nfl' END AS marker FROM s""")
 def stat_dominant_marker(spark: SparkSession, d: str) -> DataFrame:
     """The marker of largest standardised difference, in one aggregation."""
