@@ -329,12 +329,12 @@ def ledger_next(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stat_dominant_marker", f"""WITH {_C}, s AS (SELECT site, (avg(gfap) FILTER (dx = 'AD') - avg(gfap) FILTER (dx = 'CN')) / nullif(stddev_samp(gfap), 0) AS gfap, (avg(nfl) FILTER (dx = 'AD') - avg(nfl) FILTER (dx = 'CN')) / nullif(stddev_samp(nfl), 0) AS nfl FROM c WHERE dx IN ('AD', 'CN') AND site IS NOT NULL GROUP BY site)
-SELECT site, CASE WHEN gfap IS NULL OR nfl IS NULL THEN NULL WHEN abs(gfap) >= abs(nfl) THEN 'gfap' ELSE 'nfl' END AS marker FROM s""")
+SELECT site, CASE WHEN gfap IS NULL OR nfl IS NULL THEN NULL WHEN round(abs(gfap), 9) >= round(abs(nfl), 9) THEN 'gfap' ELSE 'nfl' END AS marker FROM s""")
 def stat_dominant_marker(spark: SparkSession, d: str) -> DataFrame:
-    """The marker of largest standardised difference, in one aggregation."""
+    """The marker of largest standardised difference (to nine decimals), in one aggregation."""
     c = co.contract(spark, d).where("dx in ('AD', 'CN') and site is not null")
     smd = lambda m: ((F.avg(F.when(F.col("dx") == "AD", F.col(m))) - F.avg(F.when(F.col("dx") == "CN", F.col(m)))) / F.nullif(F.stddev_samp(m), F.lit(0.0))).alias(m)
-    return c.groupBy("site").agg(smd("gfap"), smd("nfl")).select("site", F.when(F.col("gfap").isNotNull() & F.col("nfl").isNotNull(), F.when(F.abs("gfap") >= F.abs("nfl"), "gfap").otherwise("nfl")).alias("marker"))
+    return c.groupBy("site").agg(smd("gfap"), smd("nfl")).select("site", F.when(F.col("gfap").isNotNull() & F.col("nfl").isNotNull(), F.when(F.round(F.abs("gfap"), 9) >= F.round(F.abs("nfl"), 9), "gfap").otherwise("nfl")).alias("marker"))
 
 
 @query("stat_gate_weights", f"""WITH {_C}, v AS (SELECT subject_id, (dx = 'AD')::INT y, unnest([p_tau217, gfap, nfl]) s, unnest(['p_tau217', 'gfap', 'nfl']) m FROM c WHERE dx IN ('AD', 'CN')), r AS (SELECT *, rank() OVER (PARTITION BY m ORDER BY s) + (count(*) OVER (PARTITION BY m, s) - 1) / 2 AS k FROM v WHERE s IS NOT NULL),
