@@ -26,7 +26,8 @@ def hot_splits(rows: DataFrame, keys: list[str], order: Column, min_rows: int =
     hot = rows.groupBy(*keys).count().where(F.col("count") >= min_rows).orderBy(F.col("count").desc(), *keys).limit(max_hot).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
     at = [k / pieces for k in range(1, pieces)]
     same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(hot[f"_k{i}"]) for i, k in enumerate(keys)])
-    return rows.join(F.broadcast(hot), same, "left_semi").groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_o", F.array(*map(F.lit, at)), 2000)).alias("_splits"))
+    # written once: approximate quantiles that were computed again could differ, and all uses must see the same borders
+    return cut(rows.join(F.broadcast(hot), same, "left_semi").groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_o", F.array(*map(F.lit, at)), 2000)).alias("_splits")))
 
 
 def with_block(df: DataFrame, splits: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -79,7 +80,7 @@ def blocked(df: DataFrame, keys: list[str], order: Column, **bounds: int) -> Dat
     there is one block and no ``_hot``, and what follows needs neither summaries nor joins.
     """
     df = cut(df)
-    hot = cut(hot_splits(df, keys, order, **bounds))
+    hot = hot_splits(df, keys, order, **bounds)
     return df.withColumn("_blk", F.lit(0)) if hot.isEmpty() else with_block(df, hot, keys, order)
 
 
