@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.operators.ranks import benjamini_hochberg
+from siftline.operators.statistics import log_factorial
 from siftline.session import beside, cut
 
 
@@ -80,15 +81,8 @@ def hubs(edges: DataFrame, scores: DataFrame, seeds: DataFrame, top: int = 25) -
     return beside(best.join(deg, "node"), deg.agg(F.percentile("degree", 0.75).alias("_q"))).withColumn("hub", F.col("degree") >= F.col("_q")).drop("_q")
 
 
-def _log_factorial(n: Column) -> Column:
-    """log n!: a table up to 9, from there Stirling's series, which is exact to 1e-13."""
-    few = F.array(*(F.lit(math.lgamma(k + 1)) for k in range(10)))
-    z = n.cast("double") + 1
-    return F.when(n < 10, F.get(few, n.cast("int"))).otherwise((z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z))
-
-
 def _log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
 def over_representation(sets: DataFrame, query: DataFrame) -> DataFrame:

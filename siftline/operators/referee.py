@@ -21,6 +21,8 @@ from siftline.session import beside, cut, number
 WEIGHTS = {"covariates": 15, "batch": 25, "brain_age": 25, "biomarker": 20, "replication": 15}
 CREDIT = {"pass": 1.0, "weak": 0.5, "partial": 0.5, "fail": 0.0}
 BANDS = [(85, "robust"), (70, "partly robust"), (40, "fragile"), (0, "refuted")]
+#: How far the evidence for a pattern goes, from the lowest rung to the highest.
+RUNGS = ["raw_pattern", "stable_cluster", "confound_survivor", "severity_anchored", "externally_replicated"]
 
 
 def naive_effect(df: DataFrame, id_: str, emb: str, y: str, group: str | None, reps: int = 2, n: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -139,3 +141,57 @@ def referee(df: DataFrame, id_: str, emb: str, y: str, site: str, batch: str, co
         tests = tests.unionByName(t)
     tests = cut(tests)
     return tests, verdict(tests), effect
+
+
+def rung(tests: DataFrame, decided: DataFrame, effect: DataFrame, stability: float | None = None, external: bool = False) -> DataFrame:
+    """One row, rung: the highest of RUNGS whose evidence, and that of all below it, is there.
+
+    The area is over one half; it is 0.55 or more, or with a stability given that is 0.6 or more; of covariates,
+    batch and brain age none failed and one held; the biomarker passed and the claim is promoted; the
+    replication passed and ``external`` says that it was made on another cohort. Missing tests neither help nor harm.
+    """
+    how = lambda *keys, of: F.coalesce(F.max((F.col("key").isin(*keys) & F.col("result").isin(*of)).cast("int")) == 1, F.lit(False))
+    confounds = ("covariates", "batch", "brain_age")
+    t = tests.agg(how(*confounds, of=["fail"]).alias("sunk"), how(*confounds, of=["pass", "weak", "partial"]).alias("held"), how("biomarker", of=["pass"]).alias("anchored"), how("replication", of=["pass"]).alias("again"))
+    x = beside(beside(t, decided.select("promoted")), effect.select("auc"))
+    steady = F.lit(stability >= 0.6) if stability is not None else F.col("auc") >= 0.55
+    steps = [F.col("auc") > 0.5, steady, F.col("held") & ~F.col("sunk"), F.col("anchored") & F.col("promoted"), F.col("again") & F.lit(external)]
+    so_far, level = F.lit(True), F.lit(0)
+    for s in steps:
+        so_far = so_far & F.coalesce(s, F.lit(False))
+        level = level + so_far.cast("int")
+    return x.select(F.array(*map(F.lit, RUNGS))[F.greatest(level, F.lit(1)) - 1].alias("rung"))
+
+
+def batch_areas(df: DataFrame, id_: str, emb: str, columns: list[str]) -> DataFrame:
+    """column, classes, n, auc: how well the embedding tells each column's classes, one against the rest, mean over classes.
+
+    Classes under 5 rows are left out, as they can't be in all folds.
+    """
+    out = None
+    for c in columns:
+        big = df.where(F.col(c).isNotNull()).groupBy(c).count().where("count >= 5").select(c)
+        o = linear.probe(_coded(df.join(big, c, "left_semi"), c), id_, emb, "_code")
+        s = o.select("id", "y", F.posexplode("scores").alias("cls", "s"))
+        a = ranks.rank_auc(s, ["cls"], "s", (F.col("y") == F.col("cls")).cast("int"))
+        r = a.agg(F.count("*").alias("classes"), F.max(F.col("pos") + F.col("neg")).alias("n"), F.avg("auc").alias("auc")).select(F.lit(c).alias("column"), "classes", "n", "auc")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def seed_sweep(df: DataFrame, seeds: list[int], id_: str, emb: str, y: str, site: str, batch: str, covariates: list[str], markers: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(seed, score, verdict, promoted; one row of the commonest verdict, flip_rate and promotion_rate).
+
+    A seed is mixed into the ids and site names that hashes and ties go by, so folds, replicates and
+    permutations are drawn anew. Of equally frequent verdicts the first by name counts.
+    """
+    out = None
+    for s in seeds:
+        mix = lambda c: F.when(c.isNotNull(), F.md5(F.concat_ws("/", F.lit(str(s)), c.cast("string"))))  # noqa: E731, B023
+        _, v, _ = referee(df.withColumns({id_: mix(F.col(id_)), site: mix(F.col(site))}), id_, emb, y, site, batch, covariates, markers)
+        v = v.select(F.lit(s).alias("seed"), "score", "verdict", "promoted")
+        out = v if out is None else out.unionByName(v)
+    out = cut(out)
+    by = out.groupBy("verdict").agg(F.count("*").alias("c"))
+    most = by.agg(F.min_by("verdict", F.struct((-F.col("c")).alias("c"), "verdict")).alias("modal"), F.max("c").alias("c"), F.sum("c").alias("n"))
+    return out, beside(most, out.agg(F.avg(F.col("promoted").cast("double")).alias("promotion_rate"))).select("modal", (1 - F.col("c") / F.col("n")).alias("flip_rate"), "promotion_rate")
