@@ -2,8 +2,9 @@
 
 1. Every JSON object is parsed once into cells (feed, file, record, field, type, value).
 2. Each field of each file is profiled: its JSON type and a value sketch. A sketch has SLOTS slots; each holds,
-   of the records whose number hashes into it, the one of least hash and its value's hash. Two fields of
-   consecutive files are sketched over the records of both files, so equal slots hold the same record.
+   of the records with a value whose number hashes into it, the one of least hash and its value's hash. Two
+   fields of consecutive files are sketched over the records of both files, so those with the same records
+   filled hold the same ones, however few they are.
 3. For each pair of consecutive files the fields that went and those that came are matched: edges are weighed
    by the sketches' agreement, name similarity and type, and the best bipartite matching is taken.
 4. Each match is checked against all values of both fields; one that fails is an addition and a removal.
@@ -60,7 +61,7 @@ def profiles(records: DataFrame) -> DataFrame:
     h = F.xxhash64("rec_no")
     c = c.withColumns({"slot": F.pmod(h, F.lit(SLOTS)).cast("int"), "h": F.xxhash64("rec_no", F.lit(7)), "v": F.when(F.col("value").isNotNull(), F.xxhash64(canonical(F.col("value"))))})
     kinds = ["string", "boolean", "integer", "decimal", "array", "object"]
-    s = c.groupBy("feed", "file_no", "field", "slot").agg(F.min(F.when(F.col("will"), F.struct("h", "v"))).alias("old"), F.min(F.when(F.col("was"), F.struct("h", "v"))).alias("new"), *(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in kinds))
+    s = c.groupBy("feed", "file_no", "field", "slot").agg(F.min(F.when(F.col("will") & F.col("v").isNotNull(), F.struct("h", "v"))).alias("old"), F.min(F.when(F.col("was") & F.col("v").isNotNull(), F.struct("h", "v"))).alias("new"), *(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in kinds))
     p = s.groupBy("feed", "file_no", "field").agg(*(F.sum(k).alias(k) for k in kinds), *(F.collect_list(F.when(F.col(x).isNotNull(), F.struct("slot", F.col(x)["h"].alias("h"), F.col(x)["v"].alias("v")))).alias(x) for x in ("old", "new")))
     n = sum((F.col(k) for k in kinds), F.lit(0))
     top = F.array_max(F.array(*(F.struct(F.col(k).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(sorted(kinds)))))["k"]
@@ -118,7 +119,7 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for g, old in zip(gone, olds, strict=True):
                 row = []
                 for c, new in zip(came, news, strict=True):
-                    both = [(old[k][1], new[k][1]) for k in old.keys() & new.keys() if old[k][0] == new[k][0] and not (pd.isna(old[k][1]) or pd.isna(new[k][1]))]
+                    both = [(old[k][1], new[k][1]) for k in old.keys() & new.keys() if old[k][0] == new[k][0]]
                     same = sum(a == b for a, b in both)
                     agree = same / len(both) if both else 0.0
                     row.append(agree + 0.2 * name_similarity(g["field"], c["field"]) + 0.05 * (g["kind"] == c["kind"]) + 0.1 * len(both) / SLOTS if agree >= 0.8 else 0.0)

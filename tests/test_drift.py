@@ -101,6 +101,13 @@ def test_defined_cases(spark):
     assert drift.changes(exports(spark, a).limit(0)).count() == 0
 
 
+def test_sparse_field(spark):
+    # 15 of 3,000 records are filled; the first file writes nulls and the second leaves them out
+    a = [("f", 1, i, {"x": 1, "rare": i if i % 200 == 7 else None}) for i in range(3000)]
+    b = [("f", 2, i, {"x": 1} | ({"Seldom": str(i)} if i % 200 == 7 else {})) for i in range(3000)]
+    assert {tuple(r) for r in drift.changes(exports(spark, a + b)).collect()} == {("f", 2, "renamed", "Seldom", "rare"), ("f", 2, "retyped", "Seldom", "rare")}
+
+
 def test_unify(spark):
     target = spark.createDataFrame([], "RID bigint, EXAMDATE timestamp, DIAGNOSIS double, VISCODE2 string").schema
     a = [("f", 1, i, {"RID": i, "EXAMDATE": f"2020-01-0{i}", "DIAGNOSIS": 2, "VISCODE2": "m06", "feed": "x", "NOTE": "a"}) for i in (1, 2)]
