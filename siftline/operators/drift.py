@@ -5,9 +5,10 @@
    of the records with a value whose number hashes into it, the one of least hash and its value's hash. Two
    fields of consecutive files are sketched over the records of both files, so those with the same records
    filled hold the same ones, however few they are.
-3. For each pair of consecutive files the fields that went and those that came are matched: edges are weighed
-   by the sketches' agreement, name similarity and type, and the best bipartite matching is taken.
-4. Each match is checked against all values of both fields; one that fails is an addition and a removal.
+3. For each pair of consecutive files each field that went is paired with each that came; the sketches only rule
+   out pairs that differ in more than a fifth of the slots shared, and a pair without shared slots stays.
+4. All pairs left are checked against all values of both fields, and the best bipartite matching of those that
+   hold is taken, weighed by records in common, name similarity and type.
 5. Matched names are chained over the files of a feed, and records are read under the chain's target name.
 
 Groups are fields of a file, never records of a file: a feed of any size is aggregated by partial sums.
@@ -109,22 +110,30 @@ def assign(weight: list[list[float]]) -> list[int]:
     return out
 
 
-def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of a field that went and one that came which the sketches don't rule out."""
     for batch in batches:
         out = []
         for feed, no, gone, came in zip(batch["feed"], batch["file_no"], batch["gone"], batch["came"], strict=True):
-            gone, came = sorted(gone, key=lambda x: x["field"]), sorted(came, key=lambda x: x["field"])
-            olds, news = ([{s["slot"]: (s["h"], s["v"]) for s in x["sketch"]} for x in side] for side in (gone, came))
-            weight = []
-            for g, old in zip(gone, olds, strict=True):
-                row = []
-                for c, new in zip(came, news, strict=True):
-                    both = [(old[k][1], new[k][1]) for k in old.keys() & new.keys() if old[k][0] == new[k][0]]
-                    same = sum(a == b for a, b in both)
-                    agree = same / len(both) if both else 0.0
-                    row.append(agree + 0.2 * name_similarity(g["field"], c["field"]) + 0.05 * (g["kind"] == c["kind"]) + 0.1 * len(both) / SLOTS if agree >= 0.8 else 0.0)
-                weight.append(row)
-            out += [(feed, no, gone[i]["field"], came[j]["field"]) for i, j in enumerate(assign(weight)) if j >= 0]
+            # a field without a value in the records of both files has an empty sketch and no partner
+            olds, news = ([(x["field"], {s["slot"]: (s["h"], s["v"]) for s in x["sketch"]}) for x in side if len(x["sketch"])] for side in (gone, came))
+            for g, old in olds:
+                for c, new in news:
+                    both = [old[k][1] == new[k][1] for k in old.keys() & new.keys() if old[k][0] == new[k][0]]
+                    if not both or sum(both) >= 0.8 * len(both):
+                        out.append((feed, no, g, c))
+        yield pd.DataFrame(out, columns=["feed", "file_no", "prior_field", "field"])
+
+
+def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best matching of the pairs that passed the exact check."""
+    for batch in batches:
+        out = []
+        for feed, no, edges in zip(batch["feed"], batch["file_no"], batch["edges"], strict=True):
+            gone, came = (sorted({e[x] for e in edges}) for x in ("prior_field", "field"))
+            at, most = {(e["prior_field"], e["field"]): e for e in edges}, max(e["n"] for e in edges)
+            weight = [[1 + 0.2 * name_similarity(g, c) + 0.05 * e["alike"] + 0.1 * e["n"] / most if (e := at.get((g, c))) is not None else 0.0 for c in came] for g in gone]
+            out += [(feed, no, gone[i], came[j]) for i, j in enumerate(assign(weight)) if j >= 0]
         yield pd.DataFrame(out, columns=["feed", "file_no", "prior_field", "field"])
 
 
@@ -140,14 +149,17 @@ def changes(records: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     came = both.where("side = 'came'")
     g = gone.groupBy("feed", "file_no").agg(F.collect_list(F.struct("field", F.col("k0").alias("kind"), F.col("old").alias("sketch"))).alias("gone"))
     c = came.groupBy("feed", "file_no").agg(F.collect_list(F.struct("field", F.col("k1").alias("kind"), F.col("new").alias("sketch"))).alias("came"))
-    likely = cut(g.join(c, ["feed", "file_no"]).mapInPandas(_match, "feed string, file_no int, prior_field string, field string"))
-    renamed = cut(_checked(records, likely))
+    pair = "feed string, file_no int, prior_field string, field string"
+    held = _checked(records, cut(g.join(c, ["feed", "file_no"]).mapInPandas(_possible, pair)))
+    kinds = [gone.select("feed", "file_no", F.col("field").alias("prior_field"), "k0"), came.select("feed", "file_no", "field", "k1")]
+    edges = held.join(kinds[0], ["feed", "file_no", "prior_field"]).join(kinds[1], ["feed", "file_no", "field"]).groupBy("feed", "file_no").agg(F.collect_list(F.struct("prior_field", "field", "n", F.coalesce(F.col("k0") == F.col("k1"), F.lit(False)).alias("alike"))).alias("edges"))
+    renamed = cut(edges.mapInPandas(_match, pair))
     out = [
         renamed.select("feed", "file_no", F.lit("renamed").alias("change"), "field", "prior_field"),
         gone.join(renamed.select("feed", "file_no", F.col("prior_field").alias("field")), ["feed", "file_no", "field"], "left_anti").select("feed", "file_no", F.lit("removed").alias("change"), "field", F.col("field").alias("prior_field")),
         came.join(renamed, ["feed", "file_no", "field"], "left_anti").select("feed", "file_no", F.lit("added").alias("change"), "field", F.col("field").alias("prior_field")),
         both.where("side = 'both' and k0 <> k1").select("feed", "file_no", F.lit("retyped").alias("change"), "field", F.col("field").alias("prior_field")),
-        renamed.join(gone.select("feed", "file_no", F.col("field").alias("prior_field"), "k0"), ["feed", "file_no", "prior_field"]).join(came.select("feed", "file_no", "field", "k1"), ["feed", "file_no", "field"]).where("k0 <> k1").select("feed", "file_no", F.lit("retyped").alias("change"), "field", "prior_field"),
+        renamed.join(kinds[0], ["feed", "file_no", "prior_field"]).join(kinds[1], ["feed", "file_no", "field"]).where("k0 <> k1").select("feed", "file_no", F.lit("retyped").alias("change"), "field", "prior_field"),
     ]
     r = out[0]
     for x in out[1:]:
@@ -156,14 +168,14 @@ def changes(records: DataFrame, profile: DataFrame | None = None) -> DataFrame:
 
 
 def _checked(records: DataFrame, likely: DataFrame) -> DataFrame:
-    """The matches whose values agree in every record of both files that has both."""
+    """The pairs whose values agree in every record of both files that has both, with n, the number of these records."""
     sides = likely.select("feed", F.explode(F.array(F.struct((F.col("file_no") - 1).alias("file_no"), F.lit(0).alias("side"), F.col("prior_field").alias("name")), F.struct("file_no", F.lit(1).alias("side"), F.col("field").alias("name")))).alias("x"), F.col("file_no").alias("to"), "prior_field", "field")
     per = sides.groupBy("feed", "x.file_no").agg(F.collect_list(F.struct("x.side", "x.name", "to", "prior_field", "field")).alias("ps"))
-    # only the matched fields' cells are made: few a record, so the records of a file are never joined with each other
+    # only the paired fields' cells are made, and the records of a file are never joined with each other
     r = latest(records).join(per, ["feed", "file_no"]).withColumn("m", F.from_json("record", "map<string,string>"))
     c = r.select("feed", "rec_no", "m", F.explode("ps").alias("p")).select("feed", "rec_no", "p.*", canonical(F.try_element_at("m", F.col("p.name"))).alias("v")).where("v is not null")
     met = c.groupBy("feed", "to", "rec_no", "prior_field", "field").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("v1")).where("v0 is not null and v1 is not null")
-    return met.groupBy("feed", F.col("to").alias("file_no"), "prior_field", "field").agg(F.bool_and(F.col("v0") == F.col("v1")).alias("same")).where("same").drop("same")
+    return met.groupBy("feed", F.col("to").alias("file_no"), "prior_field", "field").agg(F.bool_and(F.col("v0") == F.col("v1")).alias("same"), F.count("*").alias("n")).where("same").drop("same")
 
 
 def lineage(profile: DataFrame, change: DataFrame, target: list[str]) -> DataFrame:

@@ -108,6 +108,20 @@ def test_sparse_field(spark):
     assert {tuple(r) for r in drift.changes(exports(spark, a + b)).collect()} == {("f", 2, "renamed", "Seldom", "rare"), ("f", 2, "retyped", "Seldom", "rare")}
 
 
+def test_near_equal_fields(spark):
+    # two flags differ in 1 of 3,000 records, and the other one's name is the likelier
+    a = [("f", 1, i, {"flag_a": i % 7, "x": 1}) for i in range(3000)]
+    b = [("f", 2, i, {"flag_a_new": 9 if i == 1234 else i % 7, "QQ": i % 7, "x": 1}) for i in range(3000)]
+    assert {tuple(r) for r in drift.changes(exports(spark, a + b)).collect()} == {("f", 2, "renamed", "QQ", "flag_a"), ("f", 2, "added", "flag_a_new", "flag_a_new")}
+
+
+def test_one_common_value(spark):
+    # each file fills other records of the field but for one, which no slot need hold
+    a = [("f", 1, i, {"old": i if i < 2001 else None, "x": 1}) for i in range(4000)]
+    b = [("f", 2, i, {"new": i if i >= 2000 else None, "x": 1}) for i in range(4000)]
+    assert {tuple(r) for r in drift.changes(exports(spark, a + b)).collect()} == {("f", 2, "renamed", "new", "old")}
+
+
 def test_unify(spark):
     target = spark.createDataFrame([], "RID bigint, EXAMDATE timestamp, DIAGNOSIS double, VISCODE2 string").schema
     a = [("f", 1, i, {"RID": i, "EXAMDATE": f"2020-01-0{i}", "DIAGNOSIS": 2, "VISCODE2": "m06", "feed": "x", "NOTE": "a"}) for i in (1, 2)]
