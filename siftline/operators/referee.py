@@ -51,13 +51,26 @@ def covariate_test(df: DataFrame, id_: str, emb: str, y: str, group: str, covari
     return x.select(F.lit("covariates").alias("key"), grade(share).alias("result"), share.alias("value"))
 
 
-def batch_test(df: DataFrame, id_: str, emb: str, batch: str, scores: DataFrame, n: int = 50) -> DataFrame:
-    """The outcome's area (grouped folds) less the batch's (ungrouped folds), with the interval of paired replicates."""
-    b = cut(linear.probe(_coded(df, batch), id_, emb, "_code"))
-    two = ranks.rank_auc(b, [], "score", F.col("y"))
-    both = resample.bootstrap_auc(scores, "id", "score", F.col("y"), n).withColumnRenamed("auc", "a").join(resample.bootstrap_auc(b, "id", "score", F.col("y"), n).withColumnRenamed("auc", "b"), "rep")
+def batch_test(df: DataFrame, id_: str, emb: str, batch: str, scores: DataFrame, n: int = 50, site: str | None = None) -> DataFrame:
+    """The outcome's area (grouped folds) less the batch's (ungrouped folds), with the interval of paired replicates.
+
+    The batch's area is the mean over its classes, one against the rest; a replicate without one of them has none.
+    Where ``batch`` has less than two classes, ``site`` takes its place. A class of one row is left out, as no
+    model can both learn it and be tried on it.
+    """
+    v, seen = df.where(F.col(id_).isNotNull() & F.col(emb).isNotNull()), None
+    for c in [batch] + ([site] if site else []):
+        usual = v.where(F.col(c).isNotNull()).groupBy(c).count().where("count >= 2").select(c)
+        seen = _coded(v.join(usual, c, "left_semi"), c)
+        if len(usual.limit(2).collect()) == 2:
+            break
+    b = linear.probe(seen, id_, emb, "_code").select("id", "y", F.size("scores").alias("k"), F.posexplode("scores").alias("cls", "s"))
+    b = cut(b.where("k > 2 or cls = 1"))  # of two classes both areas are the same
+    own = (F.col("y") == F.col("cls")).cast("int")
+    macro = F.when(F.count("auc") == F.count("*"), F.avg("auc"))
+    both = resample.bootstrap_auc(scores, "id", "score", F.col("y"), n).withColumnRenamed("auc", "a").join(resample.bootstrap_auc(b, "id", "s", own, n, ["cls"]).groupBy("rep").agg(macro.alias("b")), "rep")
     ci = resample.interval(both.withColumn("m", F.col("a") - F.col("b")), "m")
-    x = beside(beside(ranks.rank_auc(scores, [], "score", F.col("y")).select(F.col("auc").alias("a")), two.select(F.col("auc").alias("b"))), ci)
+    x = beside(beside(ranks.rank_auc(scores, [], "score", F.col("y")).agg(F.max("auc").alias("a")), ranks.rank_auc(b, ["cls"], "s", own).agg(macro.alias("b"))), ci)
     m = F.col("a") - F.col("b")
     return x.select(F.lit("batch").alias("key"), F.when(m.isNull(), "na").when(m <= 0, "fail").when(F.col("lo") > 0, "pass").otherwise("weak").alias("result"), m.alias("value"))
 
@@ -95,12 +108,20 @@ def brain_age_test(df: DataFrame, id_: str, emb: str, y: str, group: str, before
 
 
 def replication_test(scores: DataFrame, site: str = "site", least: int = 40, n: int = 50) -> DataFrame:
-    """The area on the smallest sites, pooled until they hold ``least`` rows; its interval's lower end decides."""
+    """The area on the smallest sites, pooled until they hold ``least`` rows and both classes; its interval's lower end decides.
+
+    The test isn't made where no pool gets there, or the sites left have under six rows or one class.
+    """
     v = scores.where(F.col(site).isNotNull() & F.col("score").isNotNull())
-    c = v.groupBy(site).agg(F.count("*").alias("c")).withColumn("_all", F.lit(0))
-    c = running(blocked(c, ["_all"], F.col("c")), ["_all"], [F.col("c"), F.col(site)], F.col("c"), "upto", itself=False)
-    pool = cut(v.join(c.where(F.coalesce("upto", F.lit(0)) < least).select(site), site, "left_semi"))
-    x = beside(ranks.rank_auc(pool, [], "score", F.col("y")), resample.interval(resample.bootstrap_auc(pool, "id", "score", F.col("y"), n), "auc").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")))
+    c = v.groupBy(site).agg(F.count("*").alias("c"), F.sum("y").alias("p")).withColumn("_all", F.lit(0))
+    c, order = blocked(c, ["_all"], F.col("c")), [F.col("c"), F.col(site)]
+    c = running(running(c, ["_all"], order, F.col("c"), "upto"), ["_all"], order, F.col("p"), "ones")
+    c = beside(c, v.agg(F.count("*").alias("rows"), F.sum("y").alias("all_ones")))
+    left, left_ones = F.col("rows") - F.col("upto"), F.col("all_ones") - F.col("ones")
+    enough = (F.col("upto") >= least) & F.col("ones").between(1, F.col("upto") - 1) & (left >= 6) & left_ones.between(1, left - 1)
+    last = c.where(enough).agg(F.min(F.struct(*order)).alias("last"))
+    pool = cut(v.join(beside(c, last).where(F.struct(*order) <= F.col("last")).select(site), site, "left_semi"))
+    x = beside(ranks.rank_auc(pool, [], "score", F.col("y")).agg(*(F.max(k).alias(k) for k in ("pos", "neg", "auc"))), resample.interval(resample.bootstrap_auc(pool, "id", "score", F.col("y"), n), "auc").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")))
     ok = F.col("auc").isNotNull() & F.col("lo").isNotNull() & ~((F.col("hi") - F.col("lo") < 0.02) & (F.col("pos") + F.col("neg") < 12))
     return x.select(F.lit("replication").alias("key"), F.when(~ok, "na").when(F.col("lo") >= 0.65, "pass").when(F.col("lo") > 0.5, "weak").otherwise("fail").alias("result"), F.col("auc").alias("value"))
 
@@ -137,7 +158,7 @@ def referee(df: DataFrame, id_: str, emb: str, y: str, site: str, batch: str, co
     effect, scores = naive_effect(df, id_, emb, y, site)
     effect = cut(effect)
     tests = covariate_test(df, id_, emb, y, site, covariates, effect)
-    for t in (batch_test(df, id_, emb, batch, scores), brain_age_test(df, id_, emb, y, site, effect), biomarker_test(scores, df.select(F.col(id_).cast("string").alias("id"), *markers), markers), replication_test(scores)):
+    for t in (batch_test(df, id_, emb, batch, scores, site=site), brain_age_test(df, id_, emb, y, site, effect), biomarker_test(scores, df.select(F.col(id_).cast("string").alias("id"), *markers), markers), replication_test(scores)):
         tests = tests.unionByName(t)
     tests = cut(tests)
     return tests, verdict(tests), effect

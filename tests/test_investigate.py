@@ -77,3 +77,23 @@ def test_batch_areas(spark):
     assert got["batch"]["classes"] == 3 and got["batch"]["auc"] > 0.7
     assert got["none"]["classes"] == 0 and got["none"]["auc"] is None
     assert df.select(F.lit(1)).count() == 90
+
+
+@pytest.mark.parametrize("scanners, sites", [(3, 1), (2, 1), (1, 4)])
+def test_batch_leaks(spark, scanners, sites):
+    """The batch, be it three scanners, two, or sites under one scanner, is told better than the outcome."""
+    rows = [(str(i), [float(i % max(scanners, sites) == j) + 0.01 * ((i * 7) % 5) for j in range(4)], f"m{i % scanners}", f"s{i % sites}") for i in range(120)]
+    df = spark.createDataFrame([*rows, ("rare", [0.0] * 4, "once", "once")], "id string, emb array<double>, scanner string, site string")
+    scores = spark.createDataFrame([(str(i), i // 4 % 2, (i * 37 % 101) / 101 + i // 4 % 2 * 0.3) for i in range(120)], "id string, y int, score double")
+    got = referee.batch_test(df, "id", "emb", "scanner", scores, 20, site="site").first()
+    assert got["result"] == "fail" and -0.5 < got["value"] < 0
+
+
+def test_replication_pools_both_classes(spark):
+    """Two small sites hold one class; the pool goes on to the third and leaves the large one out."""
+    sizes = {"a": (20, 0), "b": (25, 0), "c": (15, 15), "d": (60, 60)}
+    rows = [(f"{s}{y}{i}", y, s, y + i / 100) for s, counts in sizes.items() for y in (0, 1) for i in range(counts[y])]
+    scores = spark.createDataFrame(rows, "id string, y int, site string, score double")
+    got = referee.replication_test(scores, n=20).first()
+    assert got["result"] == "pass" and got["value"] == 1
+    assert referee.replication_test(scores.where("site <> 'd'"), n=20).first()["result"] == "na"
