@@ -100,8 +100,8 @@ def referee_seed_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def discover_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Two or three clusters of the embedding, each before the referee."""
-    return discover(spark, d, most=3).withColumns({c: R(c) for c in ("stability", "scanner_v")})
+    """Two to six clusters of the embedding, each before the referee."""
+    return discover(spark, d).withColumns({c: R(c) for c in ("stability", "scanner_v")})
 
 
 @query

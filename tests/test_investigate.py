@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import referee, statistics
-from siftline.plans.investigate import investigate, prepared
+from siftline.plans.investigate import QUERIES, investigate, prepared
 
 
 def climbed(spark, tests, promoted, auc, **more):
@@ -97,3 +97,16 @@ def test_replication_pools_both_classes(spark):
     got = referee.replication_test(scores, n=20).first()
     assert got["result"] == "pass" and got["value"] == 1
     assert referee.replication_test(scores.where("site <> 'd'"), n=20).first()["result"] == "na"
+
+
+def test_discover_clusters_tries_two_to_six(spark, small, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def choose(z, dims, ks):
+        raise Seen(ks)
+
+    monkeypatch.setattr("siftline.plans.investigate.clusters.choose_k", choose)
+    with pytest.raises(Seen) as seen:
+        QUERIES["discover_clusters"](spark, small)
+    assert seen.value.args[0] == [2, 3, 4, 5, 6]
