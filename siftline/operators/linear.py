@@ -212,8 +212,8 @@ def fit_logistic(df: DataFrame, width: int, covariates: int, k: int, reps: int,
     return Models(classes, scales, beta)
 
 
-def out_of_fold(df: DataFrame, models: Models, width: int, covariates: int, keep: str) -> DataFrame:
-    """df's columns of the schema string ``keep`` with ``p``, array with each class's score: mean over repeats of the model that hasn't seen the row; null if none."""
+def out_of_fold(df: DataFrame, models: Models, width: int, covariates: int, keep: str, some: bool = False) -> DataFrame:
+    """df's columns of the schema string ``keep`` with ``p``, array with each class's score: mean over repeats of the model that hasn't seen the row; null if a class has none, or with ``some`` NaN for that class."""
     reps = models.weights.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +229,7 @@ def out_of_fold(df: DataFrame, models: Models, width: int, covariates: int, keep
             with np.errstate(all="ignore"):
                 mean = np.nanmean(p, axis=2) if len(b) else p[:, :, 0]
             b = b.drop(columns=["x", "c", "fold"])
-            b["p"] = [None if np.isnan(v).any() else v for v in mean]
+            b["p"] = [None if np.isnan(v).any() and not some else v for v in mean]
             yield b
 
     return df.mapInPandas(run, f"{keep}, p array<double>")
@@ -293,37 +293,46 @@ def ridge_r2(df: DataFrame, width: int, k: int, alphas: np.ndarray) -> tuple[flo
     return best[0], w[1:], alphas, float(w[0]), sub
 
 
-def batch_directions(df: DataFrame, width: int, k: int, classes: list[str], most: int = 2) -> list[np.ndarray]:
+def batch_directions(df: DataFrame, width: int, k: int, most: int = 2) -> list[np.ndarray]:
     """For each fold the at most ``most`` orthonormal directions that tell the batches apart in the other folds (linear discriminants of scaled features).
 
-    df: x, b (batch, one of classes), fold. One pass: counts and sums by fold and batch, and cross-products by fold.
+    df: x, b (batch, not null), fold. Spark sums by batch and fold, so batches of any number count, and only sums of
+    features by features reach the driver: cross-products of rows by fold, and of batch means (times rows) by fold left out.
     """
-    at = {c: i for i, c in enumerate(classes)}
-
-    def sums(pdf: pd.DataFrame) -> np.ndarray:
-        v, f = np.nan_to_num(matrix(pdf["x"], width)), np.stack(pdf["fold"].to_list())[:, 0]
-        b = pdf["b"].map(at).to_numpy()
-        v = np.column_stack([np.ones(len(v)), v])
-        one = np.zeros((k, len(classes), width + 1))
-        np.add.at(one, (f, b), v)
-        return np.concatenate([one.ravel(), *((v[f == j].T @ v[f == j]).ravel() for j in range(k))])
-
-    s = total(df.select("x", "b", "fold"), sums)
-    means = s[: k * len(classes) * (width + 1)].reshape(k, len(classes), width + 1)
-    gram = s[k * len(classes) * (width + 1) :].reshape(k, width + 1, width + 1)
+    v = df.select("b", F.col("fold")[0].alias("j"), F.concat(F.array(F.lit(1.0)), F.transform("x", lambda e: F.coalesce(F.nanvl(e, F.lit(0.0)), F.lit(0.0)))).alias("x"))
+    sums = v.select("b", "j", F.posexplode("x").alias("i", "e")).groupBy("b", "j", "i").agg(F.sum("e").alias("s"))
+    sums = cut(sums.groupBy("b").agg(F.collect_list(F.struct("j", "i", "s")).alias("sums")))
+
+    def spreads(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((k, 1 + (width + 1) ** 2))
+        for cells in pdf["sums"]:
+            one = np.zeros((k, width + 1))
+            for c in cells:
+                one[c["j"], c["i"]] = c["s"]
+            for j in range(k):
+                m = one.sum(0) - one[j]
+                if m[0] > 0.5:
+                    out[j] += np.concatenate([[1.0], np.outer(m, m).ravel() / m[0]])
+        return out.ravel()
+
+    def products(pdf: pd.DataFrame) -> np.ndarray:
+        x, f = matrix(pdf["x"], width + 1), pdf["j"].to_numpy()
+        return np.concatenate([(x[f == j].T @ x[f == j]).ravel() for j in range(k)])
+
+    spread = total(sums.select("sums"), spreads).reshape(k, -1)
+    gram = total(v.select("x", "j"), products).reshape(k, width + 1, width + 1)
     out = []
     for j in range(k):
-        m, g = means.sum(0) - means[j], gram.sum(0) - gram[j]
-        m = m[m[:, 0] > 0]
+        g, batches = gram.sum(0) - gram[j], round(spread[j, 0])
+        means = spread[j, 1:].reshape(width + 1, width + 1)[1:, 1:]
         n = g[0, 0]
         mu = g[0, 1:] / n
         sd = np.sqrt(np.maximum(np.diag(g)[1:] / n - mu**2, 1e-12))
-        centre = m[:, 1:] / m[:, :1]
-        within = (g[1:, 1:] - (centre * m[:, :1]).T @ centre) / n / np.outer(sd, sd) + 1e-6 * np.eye(width)
-        between = ((centre - mu) * m[:, :1]).T @ (centre - mu) / n / np.outer(sd, sd)
+        within = (g[1:, 1:] - means) / n / np.outer(sd, sd) + 1e-6 * np.eye(width)
+        between = (means / n - np.outer(mu, mu)) / np.outer(sd, sd)
         val, vec = np.linalg.eigh(within)
         half = vec / np.sqrt(np.maximum(val, 1e-9))
         _, top = np.linalg.eigh(half.T @ between @ half)
-        scal = (half @ top[:, ::-1])[:, : min(most, len(m) - 1)] / sd[:, None]
+        scal = (half @ top[:, ::-1])[:, : min(most, max(batches - 1, 0))] / sd[:, None]
         out.append(np.linalg.qr(scal)[0] if scal.shape[1] else np.zeros((width, 0)))
     return out

@@ -33,19 +33,29 @@ def _outcome(spark: SparkSession, d: str) -> DataFrame:
 @query("study_dissociation")
 def study_dissociation(spark: SparkSession, d: str) -> DataFrame:
     """Areas of outcome and scanner after the scanner's directions are projected out within each training set."""
-    p = _outcome(spark, d).where("scanner is not null")
-    v = p.select(F.col("subject_id").alias("id"), "y", F.col("grp"), F.col("emb").cast("array<double>").alias("x"), F.array().cast("array<double>").alias("c"), F.col("scanner").alias("b"), F.col("scanner_code").cast("int").alias("s"))
-    f = cut(linear.folds(v, "id", "y", "grp", 5))
-    width = f.agg(F.max(F.size("x"))).first()[0]
-    names = [r["b"] for r in f.groupBy("b").count().orderBy(F.col("count").desc(), "b").limit(1000).collect()]  # the 1000 largest scanners at most
-    dirs = linear.batch_directions(f.where(F.col("b").isin(names)), width, 5, names)
+    return dissociation(_outcome(spark, d))
+
+
+def dissociation(p: DataFrame) -> DataFrame:
+    """target, features, classes, auc of rows from point_head; rows without a scanner are a class of their own, "__na__".
+
+    The scanner's area is the mean over all scanners, one against the rest; ``classes`` says how many have one, as
+    a scanner whose rows share a fold (it is at one site only) can't be learned from the others.
+    """
+    v = p.select(F.col("subject_id").alias("id"), "y", F.col("grp"), F.col("emb").cast("array<double>").alias("x"), F.array().cast("array<double>").alias("c"), F.coalesce(F.col("scanner").cast("string"), F.lit("__na__")).alias("b")).where("x is not null")
+    codes = ranks.serial(v.select("b").distinct(), "b", "s").select("b", (F.col("s") - 1).cast("int").alias("s"))
+    f = cut(linear.folds(v.join(codes, "b"), "id", "y", "grp", 5))
+    width, most = f.agg(F.max(F.size("x")), F.max("s")).first()
+    dirs = linear.batch_directions(f, width, 5)
     out = None
-    for what, y in (("outcome", "y"), ("scanner", "s")):
+    for what, y, classes in (("outcome", "y", [1]), ("scanner", "s", list(range(most + 1)) if most > 1 else [1])):
         g = cut(f.withColumn("y", F.col(y)))
         for name, without in (("plain", None), ("projected", lambda r, j: dirs[j])):
-            m = linear.fit_logistic(g, width, 0, 5, 1, [1], without=without)
-            o = linear.out_of_fold(g.select("id", "y", "x", "c", "fold"), m, width, 0, "id string, y int")
-            a = ranks.rank_auc(o.withColumn("s", F.col("p")[0]), [], "s", F.col("y")).select(F.lit(what).alias("target"), F.lit(name).alias("features"), "auc")
+            m = linear.fit_logistic(g, width, 0, 5, 1, classes, without=without)
+            o = linear.out_of_fold(g.select("id", "y", "x", "c", "fold"), m, width, 0, "id string, y int", some=True)
+            o = o.select("y", F.posexplode("p").alias("i", "s")).withColumn("cls", F.array(*map(F.lit, classes))[F.col("i")])
+            a = ranks.rank_auc(o, ["cls"], "s", (F.col("y") == F.col("cls")).cast("int"))
+            a = a.agg(F.count("auc").alias("classes"), F.avg("auc").alias("auc")).select(F.lit(what).alias("target"), F.lit(name).alias("features"), "classes", "auc")
             out = a if out is None else out.unionByName(a)
     return out
 
