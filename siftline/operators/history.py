@@ -55,6 +55,9 @@ def append_snapshot(sat: DataFrame, records: DataFrame, key: str, at: str, attri
 
     Late records are compared with the version that held at their own time; what they make superfluous later
     stays stored and is skipped by version_view.
+    A record confirmed but not stored is lost to late ones: of A stored at 1 and confirmed at 3, a late B at 2 holds
+    for ever. Build a key with late records anew from all its records by ``satellite`` to keep the return to A.
+    A new record at the time of a stored one of another hash is appended beside it; which one decides isn't settled.
     """
     old = sat.select(key, F.col("valid_from").alias(at), *attributes, F.lit(0).alias("_new"))
     new = records.select(key, at, *attributes, F.lit(1).alias("_new"))
