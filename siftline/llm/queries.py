@@ -49,8 +49,9 @@ def _related(spark: SparkSession, d: str) -> DataFrame:
     rows = o.unionByName(c)
     x = table(spark, d, "subject_xref")
     links = rows.select("cohort", F.col("node").alias("a"), F.coalesce("other", "node").alias("b")).union(x.select(F.lit("oasis"), oasis_key(F.col("subject_a")), oasis_key(F.col("subject_b"))))
-    found = components(links.select(F.concat_ws("/", "cohort", "a").alias("a"), F.when(F.col("b").isNotNull(), F.concat_ws("/", "cohort", "b")).alias("b")))
-    return rows.withColumn("node", F.concat_ws("/", "cohort", "node")).join(found, "node").select("cohort", "record", "subject", "component", "label")
+    named = lambda c: F.concat("cohort", F.lit("/"), c)  # noqa: E731  (null stays null: a null side is no edge)
+    found = components(links.select(named("a").alias("a"), named("b").alias("b")))
+    return rows.withColumn("node", named("node")).join(found, "node").select("cohort", "record", "subject", "component", "label")
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:

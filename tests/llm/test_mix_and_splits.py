@@ -92,3 +92,20 @@ def test_related_rows_share_a_split(spark, small):
     o = spark.read.parquet(f"{small}/oasis_longitudinal.parquet")
     assert s.where("cohort = 'oasis'").count() == o.count()
     assert s.where("subject is not null").groupBy("cohort", "subject").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+
+
+def test_null_sides_of_references_link_nothing(spark, small, tmp_path):
+    """References with a null side, however many, join no subjects; equal sides and chains of references work."""
+    from siftline.llm import queries
+
+    oasis = spark.read.parquet(f"{small}/oasis_longitudinal.parquet")
+    base = oasis.where("`Subject ID` is not null").limit(1)
+    ids = [("OAS2_0001", "OAS2_0001_MR1"), (" oas2-1 ", "OAS2_0001_MR2"), ("OAS2_0002", "OAS2_0002_MR1"), ("OAS2_0003", "OAS2_0003_MR1"), ("OAS2_0004", "OAS2_0004_MR1"), ("OAS2_0005", "OAS2_0005_MR1"), (None, "OAS2_0006_MR1")]
+    rows = base.drop("Subject ID", "MRI ID").crossJoin(spark.createDataFrame(ids, "`Subject ID` string, `MRI ID` string"))
+    rows.select(oasis.columns).write.parquet(f"{tmp_path}/oasis_longitudinal.parquet")
+    refs = [(1, None, "OAS2_0002"), (2, None, "OAS2_0003"), (3, "OAS2_0004", None), (4, "OAS2_0005", None), (5, None, None), (6, "OAS2_0002", "OAS2_0002"), (7, "OAS2_0003", "OAS2_0099"), (8, "OAS2-99", "oas2_0004")]
+    spark.createDataFrame(refs, "xref_id bigint, subject_a string, subject_b string").write.parquet(f"{tmp_path}/subject_xref.parquet")
+    for t in ("adni_contract", "split_targets"):
+        spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    got = {tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()}
+    assert got == {(" oas2-1 ", "OAS2_0001"), ("OAS2_0003", "OAS2_0004")}
