@@ -1,10 +1,15 @@
-"""Ordered work on keys of any size: the rows of a hot key are cut into blocks along their order.
+"""Ordered work on keys of any size: the rows of a large key are cut into blocks along their order.
 
 A window over a key runs in one task. Where one key may hold a third of all rows, that task would be the
-whole job. Here the (at most ``max_hot``) largest keys of ``min_rows`` rows or more get ``pieces`` blocks of
-about equal size, by approximate quantiles of the order; all other keys have the one block 0. Equal values of
-the order never part. What crosses a block's border is carried by a summary of one row a block, which is at
-most ``max_hot * pieces`` rows, a bound that holds at any scale and makes both broadcasts safe.
+whole job. Here every key with more rows than a block should have is cut: into as many blocks as its rows
+fill, by borders taken from a random sample of its rows (about SAMPLED a block). The sample only places the
+borders; all rows are worked on, and equal values of the order never part. All other keys have the one block 0.
+
+A block has about ``min_rows`` rows; only where that made more than MOST_BLOCKS blocks, blocks grow in
+proportion to the table. So there are never more than 2 x MOST_BLOCKS blocks, nor cut keys, which is the bound
+of every broadcast here: borders, and one row a block for what crosses its border.
+
+The order may be of any type that sorts: numbers, times, texts.
 """
 
 from __future__ import annotations
@@ -14,28 +19,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.notation import micros
-from siftline.session import cut
+from siftline.session import beside, cut
 
-MIN_ROWS, MAX_HOT, PIECES = 8_000, 500, 48
+MIN_ROWS, MOST_BLOCKS, SAMPLED = 8_000, 50_000, 32
+#: Steps of a binary search among up to 2 x MOST_BLOCKS borders.
+_STEPS = [1 << k for k in reversed(range(17))]
 
 
-def hot_splits(rows: DataFrame, keys: list[str], order: Column, min_rows: int = MIN_ROWS, max_hot: int = MAX_HOT, pieces: int = PIECES) -> DataFrame:
-    """keys, ``_splits`` (array of the order's numeric type): the inner borders of each hot key; at most max_hot rows."""
+def hot_splits(rows: DataFrame, keys: list[str], order: Column, min_rows: int = MIN_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """keys, ``_splits`` (array of the order's type): the inner borders of each key that is cut."""
     rows = rows.select(*keys, order.alias("_o")).where(F.col("_o").isNotNull())
-    hot = rows.groupBy(*keys).count().where(F.col("count") >= min_rows).orderBy(F.col("count").desc(), *keys).limit(max_hot).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
-    at = [k / pieces for k in range(1, pieces)]
+    counts = rows.groupBy(*keys).count()
+    target = F.greatest(F.lit(min_rows), F.ceil(F.col("all_rows") / most_blocks))
+    # keys over the target: at most most_blocks
+    hot = beside(counts.where(F.col("count") > min_rows), counts.agg(F.sum("count").alias("all_rows"))).where(F.col("count") > target)
+    hot = hot.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), (SAMPLED / target).alias("_share"))
     same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(hot[f"_k{i}"]) for i, k in enumerate(keys)])
-    # written once: approximate quantiles that were computed again could differ, and all uses must see the same borders
-    return cut(rows.join(F.broadcast(hot), same, "left_semi").groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_o", F.array(*map(F.lit, at)), 2000)).alias("_splits")))
+    picked = rows.join(F.broadcast(hot), same).where(F.rand(7) < F.col("_share")).groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_all"))
+    at = F.sequence(F.lit(SAMPLED), F.greatest(F.size("_all"), F.lit(SAMPLED)), F.lit(SAMPLED))
+    splits = F.filter(F.array_distinct(F.transform(at, lambda i: F.get("_all", i - 1))), lambda x: x.isNotNull())
+    # written once: a sample drawn again could differ, and all uses must see the same borders
+    return cut(picked.select(*keys, splits.alias("_splits")).where(F.size("_splits") > 0))
+
+
+def _position(splits: Column, o: Column) -> Column:
+    """The number of borders below o, by binary search."""
+    return F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), lambda at, step: F.when(F.get(splits, at + step - 1) < o, at + step).otherwise(at))
 
 
 def with_block(df: DataFrame, splits: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """df with ``_blk`` (int, 0 for keys that aren't hot) and ``_hot``; a null order is in block 0."""
+    """df with ``_blk`` (int, 0 for keys that aren't cut) and ``_hot``; a null order is in block 0."""
     s = splits.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_splits")
     same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(s[f"_k{i}"]) for i, k in enumerate(keys)])
-    o = order
-    return df.join(F.broadcast(s), same, "left").withColumns({"_hot": F.col("_splits").isNotNull(), "_blk": F.coalesce(F.size(F.filter("_splits", lambda x: x < o)), F.lit(0))}).withColumn("_blk", F.greatest("_blk", F.lit(0))).drop("_splits", *(f"_k{i}" for i in range(len(keys))))
+    r = df.join(F.broadcast(s), same, "left").withColumn("_hot", F.col("_splits").isNotNull())
+    return r.withColumn("_blk", F.when(F.col("_hot"), _position(F.col("_splits"), order)).otherwise(0)).drop("_splits", *(f"_k{i}" for i in range(len(keys))))
 
 
 def neighbour(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str, ahead: bool = False) -> DataFrame:
@@ -74,20 +91,11 @@ def running(df: DataFrame, keys: list[str], order: list[Column], value: Column,
 
 
 def blocked(df: DataFrame, keys: list[str], order: Column, **bounds: int) -> DataFrame:
-    """df with ``_blk``, its hot keys found in itself.
+    """df with ``_blk``, its large keys found in itself.
 
-    df is written to the checkpoint folder once, as it is read several times from here on. Where no key is hot
+    df is written to the checkpoint folder once, as it is read several times from here on. Where no key is cut
     there is one block and no ``_hot``, and what follows needs neither summaries nor joins.
     """
     df = cut(df)
     hot = hot_splits(df, keys, order, **bounds)
     return df.withColumn("_blk", F.lit(0)) if hot.isEmpty() else with_block(df, hot, keys, order)
-
-
-def code(df: DataFrame, column: str) -> Column:
-    """A number that never falls along the order of the column: a text's first seven bytes, a time's microseconds, a number itself."""
-    kind = dict(df.dtypes)[column]
-    c = F.col(column)
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    return micros(df, column) if kind in ("timestamp", "timestamp_ntz", "date") else c

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.operators.keyblocks import blocked, code, running
+from siftline.operators.keyblocks import blocked, running
 from siftline.session import number
 
 
@@ -53,7 +53,7 @@ def benjamini_hochberg(df: DataFrame, keys: list[str], p: str) -> DataFrame:
 def serial(df: DataFrame, order: str, name: str = "serial") -> DataFrame:
     """df with a dense number from 1 along distinct values of order (nulls get none)."""
     v = df.select(order).where(F.col(order).isNotNull()).distinct().withColumn("_all", F.lit(0))
-    v = running(blocked(v, ["_all"], code(v, order)), ["_all"], [F.col(order)], F.lit(1), name)
+    v = running(blocked(v, ["_all"], F.col(order)), ["_all"], [F.col(order)], F.lit(1), name)
     return df.join(v.select(order, name), order, "left")
 
 
