@@ -2,39 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators import drift, history, impute
-from siftline.session import number, table
+from siftline.session import cut, number, table
 from siftline.sources.clinical import current_visits, oasis_subject
 
 
-def _adni_states(spark: SparkSession, d: str) -> DataFrame:
-    v = current_visits(table(spark, d, "dxsum"), "DIAGNOSIS").where("DIAGNOSIS in (1, 2, 3)")
-    return v.select(F.col("RID").alias("subject"), F.col("EXAMDATE").alias("at"), F.col("DIAGNOSIS").cast("int").cast("string").alias("state"), "ID")
+def _adni_records(spark: SparkSession, d: str) -> DataFrame:
+    """subject, at, state, site, phase, stamp, ID: the current visits with a state, written once as they are read several times."""
+    v = current_visits(table(spark, d, "dxsum"), "DIAGNOSIS", "SITEID", "PHASE", "update_stamp").where("DIAGNOSIS in (1, 2, 3)")
+    return cut(v.select(F.col("RID").alias("subject"), F.col("EXAMDATE").alias("at"), F.col("DIAGNOSIS").cast("int").cast("string").alias("state"), F.col("SITEID").alias("site"), F.col("PHASE").alias("phase"), F.col("update_stamp").alias("stamp"), "ID"))
 
 
-def _oasis_states(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "oasis_longitudinal").select(oasis_subject(F.col("MRI ID")).alias("subject"), F.col("Visit").alias("at"), number("CDR").alias("cdr"))
-    return o.where("cdr is not null").select("subject", "at", F.format_string("%.1f", "cdr").alias("state"))
+def _oasis_records(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "oasis_longitudinal").select(oasis_subject(F.col("MRI ID")).alias("subject"), F.col("Visit").alias("at"), number("CDR").alias("cdr"), number("MMSE").alias("mmse"), number("SES").alias("ses"))
+    return cut(o.where("cdr is not null").select("subject", "at", F.format_string("%.1f", "cdr").alias("state"), "mmse", "ses"))
 
 
-def _versions(adni: DataFrame, oasis: DataFrame, *more: str) -> DataFrame:
-    as_text = lambda d, cohort, f: d.select(F.lit(cohort).alias("cohort"), F.col("subject").cast("string").alias("subject"), *(f(c).alias(c) for c in ("valid_from", *(m for m in more if m == "valid_to"))), "state", *(m for m in more if m != "valid_to"))
-    return as_text(adni, "adni", lambda c: F.substring(F.col(c).cast("string"), 1, 19)).unionByName(as_text(oasis, "oasis", lambda c: F.col(c).cast("string")))
+def _satellites(records: DataFrame, attributes: list[str], tie: list[Column] | None, late: Column, wanted: list[str]) -> dict[str, DataFrame]:
+    """The satellite of each attribute wanted: split by change rate, loaded with the first records and appended to with the late ones."""
+    out, groups = {}, history.split_by_change_rate(records, "subject", "at", attributes)
+    for group in groups:
+        if set(group) & set(wanted):
+            first = records.where(~F.coalesce(late, F.lit(False)))
+            sat = cut(history.satellite(first, "subject", "at", group, tie))
+            seen = history.track(first, "subject", "at", group, tie)
+            add, _ = history.append_snapshot(sat, seen, records.where(late), "subject", "at", group, tie)
+            out |= dict.fromkeys(group, sat.unionByName(add))
+    return out
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    adni = history.satellite(_adni_states(spark, d), "subject", "at", ["state"], [-F.col("ID")])
-    return _versions(adni, history.satellite(_oasis_states(spark, d), "subject", "at", ["state"]))
+def _histories(spark: SparkSession, d: str, cohort: str, wanted: list[str]) -> list[DataFrame]:
+    """The view of each attribute wanted. adni: what was entered in the second half of the time of entry is the late batch; oasis: what came after the second visit."""
+    if cohort == "adni":
+        r, attributes, tie = _adni_records(spark, d), ["state", "site", "phase"], [-F.col("ID")]
+        half = r.agg(F.timestamp_micros(((F.unix_micros(F.min("stamp").cast("timestamp")) + F.unix_micros(F.max("stamp").cast("timestamp"))) / 2).cast("long")).cast("timestamp_ntz")).first()[0]
+        late = F.col("stamp") > F.lit(half)
+    else:
+        r, attributes, tie, late = _oasis_records(spark, d), ["state", "mmse", "ses"], None, F.col("at") > 2
+    sats = _satellites(r, attributes, tie, late, wanted)
+    return [history.version_view(sats[a], "subject", [a]) for a in wanted]
+
+
+def _as_text(df: DataFrame, cohort: str, column: str) -> DataFrame:
+    when = lambda c: F.substring(F.col(c).cast("string"), 1, 19)
+    return df.select(F.lit(cohort).alias("cohort"), F.col("subject").cast("string").alias("subject"), when("valid_from").alias("valid_from"), when("valid_to").alias("valid_to"), F.col(column).cast("string").alias("value"), "is_current")
 
 
 def p2_history(spark: SparkSession, d: str) -> DataFrame:
-    """The same versions with the end of each, from the lead-based view."""
-    adni = history.version_view(history.satellite(_adni_states(spark, d), "subject", "at", ["state"], [-F.col("ID")]), "subject")
-    oasis = history.version_view(history.satellite(_oasis_states(spark, d), "subject", "at", ["state"]), "subject")
-    return _versions(adni, oasis, "valid_to", "is_current")
+    """The states with the period of each, from the lead-based view of satellites that were appended to."""
+    v = _as_text(_histories(spark, d, "adni", ["state"])[0], "adni", "state").unionByName(_as_text(_histories(spark, d, "oasis", ["state"])[0], "oasis", "state"))
+    return v.withColumnRenamed("value", "state")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_history(spark, d).select("cohort", "subject", "valid_from", "state")
+
+
+def p2_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Each attribute's own history (null is a value) at the records that have a state: phase and site of adni, MMSE and SES of oasis."""
+    parts = [_as_text(v, c, a).withColumn("attribute", F.lit(a)) for c, names in (("adni", ["site", "phase"]), ("oasis", ["mmse", "ses"])) for a, v in zip(names, _histories(spark, d, c, names), strict=True)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 P2_STATES = """
@@ -49,6 +82,18 @@ P2_FOUND = P2_STATES + "SELECT cohort, subject, at_text AS valid_from, state FRO
 P2_HISTORY = P2_STATES + "SELECT cohort, subject, at_text AS valid_from, lead(at_text) OVER w AS valid_to, state, lead(at_text) OVER w IS NULL AS is_current FROM v WINDOW w AS (PARTITION BY cohort, subject ORDER BY o)"
 
 
+P2_ATTRIBUTES = """
+WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY RID, VISCODE2 ORDER BY update_stamp DESC, ID) k FROM dxsum) WHERE k = 1 AND EXAMDATE IS NOT NULL AND RID IS NOT NULL),
+d AS (SELECT *, row_number() OVER (PARTITION BY RID, EXAMDATE ORDER BY ID) n FROM cur WHERE DIAGNOSIS IN (1, 2, 3)),
+o AS (SELECT DISTINCT regexp_extract("MRI ID", '^(OAS2_[0-9]+)', 1) AS subject, CAST(Visit AS BIGINT) AS o, CASE WHEN NOT isnan(MMSE) THEN MMSE END AS mmse, CASE WHEN NOT isnan(SES) THEN SES END AS ses FROM oasis_longitudinal WHERE CDR IS NOT NULL AND NOT isnan(CDR) AND Visit IS NOT NULL),
+a AS (
+ SELECT 'adni' AS cohort, CAST(RID AS VARCHAR) AS subject, 'site' AS attribute, epoch_us(EXAMDATE) AS o, strftime(EXAMDATE, '%Y-%m-%d %H:%M:%S') AS at_text, CAST(SITEID AS VARCHAR) AS v FROM d WHERE n = 1
+ UNION ALL SELECT 'adni', CAST(RID AS VARCHAR), 'phase', epoch_us(EXAMDATE), strftime(EXAMDATE, '%Y-%m-%d %H:%M:%S'), PHASE FROM d WHERE n = 1
+ UNION ALL SELECT 'oasis', subject, 'mmse', o, CAST(o AS VARCHAR), CAST(mmse AS VARCHAR) FROM o UNION ALL SELECT 'oasis', subject, 'ses', o, CAST(o AS VARCHAR), CAST(ses AS VARCHAR) FROM o
+), c AS (SELECT *, lag(v) OVER w AS before, row_number() OVER w AS n FROM a WINDOW w AS (PARTITION BY cohort, subject, attribute ORDER BY o)), v AS (SELECT * FROM c WHERE n = 1 OR before IS DISTINCT FROM v)
+SELECT cohort, subject, attribute, at_text AS valid_from, lead(at_text) OVER w AS valid_to, v AS value, lead(at_text) OVER w IS NULL AS is_current FROM v WINDOW w AS (PARTITION BY cohort, subject, attribute ORDER BY o)
+"""
+
 SES, MMSE = impute.Field("SES", 1, 5, "category"), impute.Field("MMSE", 0, 30, "number")
 
 
@@ -93,5 +138,5 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unify(table(spark, d, "dxsum_exports"), table(spark, d, "dxsum").schema)
 
 
-QUERIES = {"p2_found": p2_found, "p2_history": p2_history, "p3_found": p3_found, "p3_cross_sectional": p3_cross_sectional, "p3_longitudinal": p3_longitudinal, "p5_found": p5_found, "p5_unified": p5_unified}
-SQL = {"p2_found": P2_FOUND, "p2_history": P2_HISTORY, "p3_found": P3_FOUND}
+QUERIES = {"p2_found": p2_found, "p2_history": p2_history, "p2_attributes": p2_attributes, "p3_found": p3_found, "p3_cross_sectional": p3_cross_sectional, "p3_longitudinal": p3_longitudinal, "p5_found": p5_found, "p5_unified": p5_unified}
+SQL = {"p2_found": P2_FOUND, "p2_history": P2_HISTORY, "p2_attributes": P2_ATTRIBUTES, "p3_found": P3_FOUND}

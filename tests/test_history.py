@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import history, keyblocks
+from siftline.session import cut
 
 
 def brute(rows):
@@ -28,7 +29,7 @@ def test_satellite_as_brute_force(spark, hot, monkeypatch):
     rnd = random.Random(1)
     rows = [(rnd.choice([1, 1, 1, 2, 3, None]), t if rnd.random() > 0.05 else None, rnd.choice(["a", "b", None])) for t in range(300)]
     rows += rows[:50]
-    monkeypatch.setattr(history, "hot_splits", lambda *a, **k: keyblocks.hot_splits(*a, **(k | {"min_rows": hot})))
+    monkeypatch.setattr(history, "blocked", lambda *a, **k: keyblocks.blocked(*a, **(k | {"min_rows": hot})))
     df = spark.createDataFrame(rows, "k int, t int, s string").withColumn("hash_diff_", F.lit(1))
     sat = history.satellite(df, "k", "t", ["s"])
     want = brute(rows)
@@ -39,15 +40,39 @@ def test_satellite_as_brute_force(spark, hot, monkeypatch):
         assert [view[k, t] for t in times] == [(b, False) for b in times[1:]] + [(None, True)]
 
 
-def test_append_and_empty(spark):
-    old = spark.createDataFrame([("x", 1, "a"), ("x", 5, "b")], "k string, t int, s string")
-    sat = history.satellite(old, "k", "t", ["s"])
-    new = spark.createDataFrame([("x", 3, "a"), ("x", 4, "c"), ("x", 6, "b"), ("y", 1, None), (None, 1, "a")], "k string, t int, s string")
-    add = history.append_snapshot(sat, new, "k", "t", ["s"])
-    assert sorted((tuple(r)[:3] for r in add.collect()), key=str) == [("x", 4, "c"), ("y", 1, None)]
-    both = history.version_view(sat.unionByName(add), "k")
-    assert [tuple(r) for r in both.where("k = 'x'").orderBy("valid_from").select("valid_from", "valid_to").collect()] == [(1, 4), (4, 5), (5, None)]
-    assert history.satellite(old.limit(0), "k", "t", ["s"]).count() == 0
+def versions(spark, batches, tie=None):
+    """View of a satellite that the batches were appended to one after another."""
+    sat = seen = None
+    for rows in batches:
+        df = spark.createDataFrame(rows, "k string, t int, s string, i int")
+        if sat is None:
+            sat, seen = history.satellite(df, "k", "t", ["s"], tie), history.track(df, "k", "t", ["s"], tie)
+        else:
+            add, more = history.append_snapshot(sat, seen, df, "k", "t", ["s"], tie)
+            sat, seen = cut(sat.unionByName(add)), cut(seen.unionByName(more))
+    return sorted((tuple(r[c] for c in ("k", "valid_from", "s", "valid_to")) for r in history.version_view(sat, "k").collect()), key=str)
+
+
+def test_append_of_late_records(spark):
+    # A confirmed at 4, but not stored, comes back after a late C at 3
+    assert versions(spark, [[("x", 1, "A", 0), ("x", 4, "A", 0)], [("x", 3, "C", 0)]]) == [("x", 1, "A", 3), ("x", 3, "C", 4), ("x", 4, "A", None)]
+    # a stored version becomes superfluous by a late record of the same state before it
+    assert versions(spark, [[("x", 1, "A", 0), ("x", 5, "B", 0)], [("x", 3, "B", 0), ("y", 1, None, 0), (None, 1, "A", 0)]]) == [("x", 1, "A", 3), ("x", 3, "B", None), ("y", 1, None, None)]
+    # a record of a stored time that decides by tie, and one that doesn't
+    tie = [F.col("i")]
+    assert versions(spark, [[("x", 1, "A", 1), ("x", 5, "B", 1)], [("x", 5, "A", 2)], [("x", 5, "C", 0), ("x", 1, "D", 2)]], tie) == [("x", 1, "D", 5), ("x", 5, "A", None)]
+    old = spark.createDataFrame([], "k string, t int, s string")
+    assert history.satellite(old, "k", "t", ["s"]).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10**9, 6])
+def test_random_late_batches_equal_a_rebuild(spark, hot, monkeypatch):
+    monkeypatch.setattr(history, "blocked", lambda *a, **k: keyblocks.blocked(*a, **(k | {"min_rows": hot})))
+    rnd = random.Random(hot)
+    rows = [(rnd.choice("xxxy"), rnd.randint(0, 40), rnd.choice(["a", "b", None]), i) for i in range(120)]
+    rnd.shuffle(rows)
+    at, tie = [0, 40, 75, 120], [F.col("i")]
+    assert versions(spark, [rows[a:b] for a, b in zip(at, at[1:])], tie) == versions(spark, [rows], tie)
 
 
 def test_change_rates(spark):
@@ -60,7 +85,7 @@ def test_running(spark, hot):
     rnd = random.Random(2)
     rows = [(rnd.choice("aab"), rnd.randint(0, 60), i, rnd.randint(-5, 5)) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, o int, i int, v int")
-    b = keyblocks.blocked(df, ["k"], F.col("o"), min_rows=hot, pieces=7)
+    b = keyblocks.blocked(df, ["k"], F.col("o"), min_rows=hot)
     got = keyblocks.running(b, ["k"], [F.col("o"), F.col("i")], F.col("v"), "s")
     got = keyblocks.running(got, ["k"], [F.col("o"), F.col("i")], F.col("v"), "before", itself=False)
     got = {r["i"]: (r["s"], r["before"], r["lo"]) for r in keyblocks.running(got, ["k"], [F.col("o"), F.col("i")], F.col("v"), "lo", "min").collect()}
@@ -68,3 +93,19 @@ def test_running(spark, hot):
         up = [x[3] for x in rows if x[0] == k and (x[1], x[2]) <= (o, i)]
         assert got[i] == (sum(up), sum(up) - v if len(up) > 1 else None, min(up))
     assert (b.select("_blk").distinct().count() > 2) == (hot < 100)
+
+
+def test_blocks_of_many_keys_and_of_texts_with_a_long_prefix(spark):
+    """600 large keys, and one key of ids that share their first 12 bytes: every block is near the size asked for."""
+    many = spark.range(60_000).select((F.col("id") % 600).alias("k"), F.col("id").alias("o"))
+    texts = spark.range(40_000).select(F.lit("x").alias("k"), F.format_string("subject_0000%08d", "id").alias("o"))
+    for df, rows, target in ((many, 60_000, 30), (texts, 40_000, 1000)):
+        b = keyblocks.blocked(df, ["k"], F.col("o"), min_rows=target)
+        sizes = b.groupBy("k", "_blk").agg(F.count("*").alias("n"), F.min("o").alias("lo"), F.max("o").alias("hi"))
+        r = sizes.agg(F.max("n"), F.count("*"), F.sum("n")).first()
+        assert r[0] < 3.5 * target and r[1] > rows / target / 2 and r[2] == rows
+        assert sizes.alias("a").join(sizes.alias("b"), "k").where("a._blk < b._blk and a.hi >= b.lo").count() == 0
+    one = keyblocks.running(keyblocks.blocked(texts, ["k"], F.col("o"), min_rows=1000), ["k"], [F.col("o")], F.lit(1), "i")
+    assert one.where("i <> cast(substring(o, 13) as bigint) + 1").count() == 0
+    few = keyblocks.blocked(texts, ["k"], F.col("o"), min_rows=10, most_blocks=4)
+    assert few.select("_blk").distinct().count() <= 8
