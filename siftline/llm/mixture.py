@@ -5,13 +5,13 @@ more than max_repeats times: total = min over sources of max_repeats * tokens /
 then due ``rate`` = weight * total / tokens of the source times: the whole part of the rate as copies, the
 rest as inclusion probability of one more. The cube method draws those: the vector of probabilities moves
 along the null space of the constraints (number of records and number of tokens, by source) until the next
-probability is 0 or 1. For three undecided records with tokens a, b and c the null space is spanned by
-(b - c, c - a, a - b), so a step is constant work and keeps both sums exactly.
+probability is 0 or 1. Records are decided from the one with most tokens down, each against all records that are
+still undecided, so that only small ones are left to land.
 
 Spark runs the flight in blocks of at most about BLOCK records of a source, spread by hash; two undecided
-records may remain of a block, and further rounds fly what remains of all blocks, until a source has one
-block. Then at most two records a source land: of the ways to take or leave them the one nearest in tokens to
-what is due.
+records may remain of a block, and further rounds fly what remains of all blocks, as many as it takes until each
+source has one block. Then at most two records a source land: of the ways to take or leave them the one nearest in
+tokens to what is due.
 
 Defined cases: a source without records, or without tokens, is left out and the others' weights are scaled to
 sum to 1 (its reached share is 0); records of a source that isn't a target, or of a null source, aren't
@@ -29,33 +29,49 @@ from pyspark.sql import functions as F
 
 from siftline.session import beside, cut
 
-BLOCK, ROUNDS = 20_000, 3
+BLOCK = 2_048
 
 
 def flight(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The probabilities after the flight: all but at most two are 0 or 1; sums of p and of p * tokens are kept."""
-    p, x = p.copy(), tokens.astype(float)
-    coin = rng.random(len(p) + 1)
-    p[p < 1e-9], p[p > 1 - 1e-9] = 0, 1
-    open_ = np.flatnonzero((p > 0) & (p < 1)).tolist()
-    hold: list[int] = []
-    for k, i in enumerate(open_):
-        hold.append(i)
-        while len(hold) == 3:
-            a, b, c = (x[j] for j in hold)
-            u = (b - c, c - a, a - b)
-            if u == (0.0, 0.0, 0.0):
-                u = (1.0, -1.0, 0.0)
-            q = [p[j] for j in hold]
-            up = min((1 - q[j]) / u[j] if u[j] > 0 else -q[j] / u[j] for j in range(3) if u[j])
-            down = min(q[j] / u[j] if u[j] > 0 else (q[j] - 1) / u[j] for j in range(3) if u[j])
-            # up with chance down / (up + down): the expectation stays
-            step = up if coin[k] * (up + down) < down else -down
-            for j in range(3):
-                v = q[j] + step * u[j]
-                p[hold[j]] = 0.0 if v < 1e-9 else 1.0 if v > 1 - 1e-9 else v
-            hold = [j for j in hold if 0 < p[j] < 1]
-    return p
+    """The probabilities after the flight: all but at most two are 0 or 1; sums of p and of p * tokens are kept.
+
+    The undecided record with most tokens leads: it moves by one and all other undecided ones by a + b * tokens, with
+    a and b such that both sums stay (a vector of the constraints' null space, spread over all records), until the
+    first probability is 0 or 1. So large records are decided while many others can make up for them, and what is
+    left at the end are the smallest.
+    """
+    order = np.lexsort((np.arange(len(p)), -tokens))
+    q, x = p[order].astype(float), tokens[order].astype(float)
+    x = x / max(x.max(initial=1.0), 1.0)
+    q[q < 1e-9], q[q > 1 - 1e-9] = 0, 1
+    coin, k = rng.random(2 * len(p) + 1), 0
+    live = np.flatnonzero((q > 0) & (q < 1))
+    while len(live) > 2:
+        z, v = x[live], q[live]
+        u = np.empty(len(live))
+        u[0] = 1.0
+        m, mean = len(z) - 1, z[1:].mean()
+        spread = ((z[1:] - mean) ** 2).sum()
+        if spread > 1e-18:
+            b = -(z[0] - mean) / spread
+            u[1:] = -1 / m + b * (z[1:] - mean)
+        elif abs(z[0] - mean) < 1e-9:
+            u[1:] = -1 / m
+        else:  # the others are all alike: they move against each other, the leader stays
+            u[:] = 0
+            u[1], u[2] = 1.0, -1.0
+        pos, neg = u > 1e-15, u < -1e-15
+        up = min(((1 - v[pos]) / u[pos]).min(initial=np.inf), (v[neg] / -u[neg]).min(initial=np.inf))
+        down = min((v[pos] / u[pos]).min(initial=np.inf), ((1 - v[neg]) / -u[neg]).min(initial=np.inf))
+        # up with chance down / (up + down): the expectation stays
+        v = v + (up if coin[k] * (up + down) < down else -down) * u
+        k += 1
+        v[v < 1e-9], v[v > 1 - 1e-9] = 0, 1
+        q[live] = v
+        live = live[(v > 0) & (v < 1)]
+    out = np.empty(len(p))
+    out[order] = q
+    return out
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -99,13 +115,17 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, block:
     s = s.withColumns({"whole": F.when(near, F.round("rate")).otherwise(F.floor("rate")).cast("int"), "p": F.when(near, 0.0).otherwise(F.col("rate") - F.floor("rate"))})
     s = s.select("id", "source", F.col("tokens").cast("long").alias("tokens"), "whole", "p", "records")
     schema = "id bigint, source string, tokens bigint, whole int, p double, records bigint, round int"
-    done, rest, n = [s.where("p = 0").drop("records")], s.where("p > 0"), F.col("records")
-    for k in range(ROUNDS):
+    done, rest, n, k = [s.where("p = 0").drop("records")], s.where("p > 0"), F.col("records"), 0
+    most = r.agg(F.max("records")).first()[0] or 0
+    while most > 0:
         blocks = F.greatest(F.ceil(n / block), F.lit(1))
         rest = rest.withColumn("round", F.pmod(F.xxhash64("id", F.lit(k)), blocks).cast("int"))
         flown = cut(rest.groupBy("source", "round").applyInPandas(_fly, schema))
         done.append(flown.where("p in (0, 1)").drop("records", "round"))
-        rest, n = flown.where("p not in (0, 1)").drop("round"), 2 * blocks
+        rest, n, k = flown.where("p not in (0, 1)").drop("round"), 2 * blocks, k + 1
+        if most <= block:
+            break
+        most = 2 * -(-most // block)
     landed = rest.withColumn("round", F.lit(0)).groupBy("source").applyInPandas(_land, schema)
     done.append(landed.drop("records", "round"))
     out = done[0]

@@ -175,7 +175,7 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, time: str, left_id
     s = hot_splits((slim(stats[0], None).union(slim(stats[1], None)) if stats else a.union(b)).select("k", "t"), ["k"], F.col("t"))
     a = with_block(a, s, ["k"], F.col("t"))
     b = with_block(b, s, ["k"], F.col("t"))
-    # the leaves just outside each block of a hot key: at most MAX_HOT x PIECES blocks, two leaves each
+    # the leaves just outside each block of a large key: at most 2 x MOST_BLOCKS blocks, two leaves each
     ends = b.where("_hot").groupBy("k", "_blk").agg(F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", (-F.col("id")).alias("id"))).alias("hi"))
     grid = s.select("k", F.explode(F.sequence(F.lit(0), F.size("_splits"))).alias("_blk")).join(ends, ["k", "_blk"], "left")
     w = Window.partitionBy("k").orderBy("_blk")

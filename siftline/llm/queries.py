@@ -38,20 +38,30 @@ P1_PAIRS += "SELECT RID, VISCODE2, DIAGNOSIS, pT217_F, round(gap / 3600000000, 6
 
 
 def _related(spark: SparkSession, d: str) -> DataFrame:
-    """Every row of both tables: cohort, record, subject (as written), component, label."""
+    """Every row of both tables: cohort, record, subject (as written), component, label.
+
+    A subject's rows share their key without any link, so the graph has only the links between different keys: what
+    cross-references say, and of a subject with several sites the first with each other one. A row of adni without
+    site is where its subject is; a row without any id is by itself.
+    """
     o = table(spark, d, "oasis_longitudinal")
     own, said = oasis_key(oasis_subject(F.col("MRI ID"))), oasis_key(F.col("Subject ID"))
-    raw = F.when(F.col("Subject ID").isNotNull(), F.concat(F.lit("text:"), F.col("Subject ID")))
-    o = o.select(F.lit("oasis").alias("cohort"), F.col("MRI ID").alias("record"), F.col("Subject ID").alias("subject"), F.coalesce(said, own, raw, F.concat(F.lit("row:"), F.xxhash64(*(f"`{c}`" for c in o.columns)).cast("string"))).alias("node"), F.coalesce(own, said).alias("other"), F.col("Group").alias("label"))
+    raw = F.concat(F.lit("text:"), F.col("Subject ID"))
+    o = o.select(F.lit("oasis").alias("cohort"), F.col("MRI ID").alias("record"), F.col("Subject ID").alias("subject"), F.coalesce(said, own, raw, F.concat(F.lit("row:"), F.xxhash64(*(f"`{c}`" for c in o.columns)).cast("string"))).alias("node"), own.alias("other"), F.col("Group").alias("label"))
     c = table(spark, d, "adni_contract")
-    site, subject = F.concat(F.lit("site:"), F.col("site")), F.concat(F.lit("subject:"), F.col("subject_id"))
-    c = c.select(F.lit("adni").alias("cohort"), F.col("subject_id").alias("record"), F.col("subject_id").alias("subject"), F.coalesce(site, subject, F.concat(F.lit("row:"), F.xxhash64(*c.columns).cast("string"))).alias("node"), subject.alias("other"), F.col("dx").alias("label"))
-    rows = o.unionByName(c)
+    named = F.coalesce(F.concat(F.lit("subject:"), F.col("subject_id")), F.concat(F.lit("row:"), F.xxhash64(*c.columns).cast("string")))
+    c = c.select(F.lit("adni").alias("cohort"), F.col("subject_id").alias("record"), F.col("subject_id").alias("subject"), named.alias("of"), F.concat(F.lit("site:"), F.col("site")).alias("node"), F.col("dx").alias("label"))
+    seen = c.where("node is not null").select("of", "node").distinct()
+    home = seen.groupBy("of").agg(F.min("node").alias("home"))
+    lost = c.where("node is null").drop("node").join(home, "of", "left").withColumn("node", F.coalesce("home", "of"))
+    cols = ["cohort", "record", "subject", "node", "label"]
+    rows = o.select(cols).unionByName(c.where("node is not null").select(cols)).unionByName(lost.select(cols))
     x = table(spark, d, "subject_xref")
-    links = rows.select("cohort", F.col("node").alias("a"), F.coalesce("other", "node").alias("b")).union(x.select(F.lit("oasis"), oasis_key(F.col("subject_a")), oasis_key(F.col("subject_b"))))
-    named = lambda c: F.concat("cohort", F.lit("/"), c)  # noqa: E731  (null stays null: a null side is no edge)
-    found = components(links.select(named("a").alias("a"), named("b").alias("b")))
-    return rows.withColumn("node", named("node")).join(found, "node").select("cohort", "record", "subject", "component", "label")
+    links = x.select(F.lit("oasis").alias("cohort"), oasis_key(F.col("subject_a")).alias("a"), oasis_key(F.col("subject_b")).alias("b"))
+    links = links.union(o.where("node <> other").select("cohort", "node", "other").distinct()).union(seen.join(home, "of").where("node <> home").select(F.lit("adni"), "home", "node").distinct())
+    prefixed = lambda c: F.concat("cohort", F.lit("/"), c)  # noqa: E731  (null stays null: a null side is no link)
+    found = components(links.select(prefixed("a").alias("a"), prefixed("b").alias("b")))
+    return rows.withColumn("node", prefixed("node")).join(found, "node", "left").select("cohort", "record", "subject", F.coalesce("component", "node").alias("component"), "label")
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Encoding of text by a byte-level BPE vocabulary, with an automaton compiled from its merges.
 
-The automaton reads tokens and accepts exactly the correct tokenizations. It starts as one state with a loop
-for every byte; each merge (u, v) -> uv, in order, adds one gadget: the state after u loses its arc v, a new
-state after uv starts as a copy of the state after v, and every state with an arc u gets an arc uv. Since an
-arc's target depends on its label only, a gadget is three numbers: the arc that is cut, the state copied and
-the label followed, each with the time of the merge. ``arc`` resolves them and keeps the result, so that
-transitions are table look-ups.
-
-A word of the pre-split text has one accepting path. It is found by following the longest token with an arc
-from the state, and stepping back from positions that lead nowhere; as a prefix has one correct tokenization
-too, a position that failed once is never tried again. Paths of words are kept in a table of bounded size.
-Decoding emits the labels of the arcs.
+1. Merge gadgets. The automaton of correct tokenizations reads tokens. It starts as one state with a loop for
+   every byte; each merge (u, v) -> uv, in order, adds one gadget: the state after u loses its arc v, a new state
+   after uv starts as a copy of the state after v, and every state with an arc u gets an arc uv. As an arc's
+   target depends on its label only, a gadget is three numbers: the arc that is cut, the state copied and the
+   label followed, each with the time of the merge; ``arc`` resolves them.
+2. Determinising over bytes. A token spells several bytes, so over bytes the automaton is not deterministic:
+   after some bytes it may be within tokens that began at different places. A state of the deterministic one is
+   the list of these: for each place the token that ends there and the node of the token trie reached since. As
+   every prefix has one correct tokenization, with each byte exactly one token ends in an accepted way; it is the
+   output of the transition. States and transitions are made when first reached and kept in a table.
+3. Encoding. A word of the pre-split text is read byte by byte through the table, never stepping back; the path is
+   then read from its end: the output at the last byte is the last token, before it stands the output at the byte
+   where it began, and so on. Paths of words are kept in a table of bounded size. Decoding emits the arcs' labels.
 
 Defined cases: null and empty texts give an empty list; blank texts are tokenized as they are; strings of
 special tokens in a text are ordinary text; bytes that aren't UTF-8 are read as U+FFFD. Only the column named
@@ -20,6 +22,7 @@ is read. The vocabulary's path is a parameter; the driver reads the file and bro
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pre-split pattern of this public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MOST_WORDS = 200_000
+#: The same over texts of ASCII characters only, which the plain engine reads faster.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
+MOST_WORDS, MOST_STATES = 200_000, 300_000
 
 
 def printable() -> dict[str, int]:
@@ -62,13 +67,23 @@ class TokenAutomaton:
             if u in merged and v in merged and self._open(u, v, time - 1):
                 self.cut[u, v], self.born[uv], self.copied[uv], self.followed[uv] = time, time, v, u
                 merged.add(uv)
-        self.tokens = {self.labels[i]: i for i in merged}
-        sizes: dict[bytes, set[int]] = {}
-        for label in self.tokens:
-            sizes.setdefault(label[:2], set()).add(len(label))
-        self.sizes = {k: sorted(v, reverse=True) for k, v in sizes.items()}
+        self.child: dict[int, int] = {}
+        self.token_at, self.inner = [-1], [True]  # of each node of the token trie: the token that ends there, whether it leads on
+        for i in merged:
+            at = 0
+            for byte_ in self.labels[i]:
+                to = self.child.get(at << 8 | byte_)
+                if to is None:
+                    to = self.child[at << 8 | byte_] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(False)
+                    self.inner[at] = True
+                at = to
+            self.token_at[at] = i
+        self.size_of = {i: len(self.labels[i]) for i in merged}
+        self.reset()
         self.words = _Words(self)
-        self.split = regex.compile(PATTERN).findall
+        self.any_split, self.ascii_split = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.bytes_of = np.zeros(size, np.int32)
         for i, label in self.labels.items():
             self.bytes_of[i] = len(label)
@@ -97,26 +112,48 @@ class TokenAutomaton:
             self.arcs[s, t] = known
         return known
 
+    def reset(self) -> None:
+        self.states: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self.number = {self.states[0]: 0}
+        self.table: dict[int, tuple[int, int]] = {}  # state and byte -> state << 8, token that ends here
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition of a state (times 256) by a byte, made and kept in the table."""
+        threads, ends = [], -1
+        for s, node in self.states[state >> 8]:
+            to = self.child.get(node << 8 | byte)
+            if to is not None:
+                t = self.token_at[to]
+                if t >= 0 and ends < 0 and (s < 0 or self.arc(s, t)):
+                    ends = t
+                if self.inner[to]:
+                    threads.append((s, to))
+        key = (*threads, (ends, 0))
+        n = self.number.get(key)
+        if n is None:
+            n = self.number[key] = len(self.states)
+            self.states.append(key)
+        self.table[state | byte] = n << 8, ends
+        return n << 8, ends
+
     def word(self, w: bytes) -> tuple[int, ...]:
         """The accepting path that spells w."""
-        if w in self.tokens:
-            return (self.tokens[w],)
-        tokens, sizes, end = self.tokens, self.sizes, len(w)
-        path, at, most, dead = [], 0, end, bytearray(end + 1)
-        while at < end:
-            for n in (*sizes.get(w[at : at + 2], ()), 1):
-                if n > most or at + n > end or dead[at + n]:
-                    continue
-                t = tokens.get(w[at : at + n])
-                if t is not None and (not path or self.arc(path[-1], t)):
-                    path.append(t)
-                    at, most = at + n, end
-                    break
-            else:  # no arc leads on from here: step back and try a shorter token
-                dead[at] = 1
-                n = len(self.labels[path.pop()])
-                at, most = at - n, n - 1
-        return tuple(path)
+        if len(self.states) > MOST_STATES:
+            self.reset()
+        table, state, ends = self.table, 0, []
+        for byte in w:
+            to = table.get(state | byte)
+            state, t = self.step(state, byte) if to is None else to
+            ends.append(t)
+        path, at, size = [], len(w), self.size_of
+        while at:
+            t = ends[at - 1]
+            path.append(t)
+            at -= size[t]
+        return tuple(path[::-1])
+
+    def split(self, text: str) -> list[str]:
+        return self.ascii_split(text) if text.isascii() else self.any_split(text)
 
     def encode(self, text: str) -> list[int]:
         words = self.words

@@ -41,12 +41,38 @@ def test_mix(spark):
     assert mixture.mix(sizes.limit(0), targets).count() == 0
 
 
+SHARES = [0.8, 0.1, 0.1]
+
+
+def due(them, shares=SHARES):
+    rows = {}
+    for b in them:
+        for x, n in b.profile.items():
+            rows[x] = rows.get(x, 0) + n * b.components
+    return {(x, k): n * s for x, n in rows.items() for k, s in enumerate(shares)}
+
+
 def test_quotas_are_near():
-    b = [splits.Bundle("x", f"{s}/{lab}", lab, n, n * s) for s, n, lab in [(1, 101, "p"), (1, 57, "q"), (3, 40, "p"), (7, 9, "q"), (50, 1, "p"), (90, 1, "q")]]
-    q = splits.quotas(b, [0.8, 0.1, 0.1])
-    assert all(sum(q["x", x.bundle]) == x.components for x in b)
-    rows = [sum(q["x", x.bundle][k] * x.rows / x.components for x in b) for k in range(3)]
-    assert np.allclose(np.array(rows) / sum(rows), [0.8, 0.1, 0.1], atol=0.005)
+    b = [splits.Bundle(f"{s}/{lab}", {lab: s}, n) for s, n, lab in [(1, 101, "p"), (1, 57, "q"), (3, 40, "p"), (7, 9, "q"), (50, 1, "p"), (90, 1, "q")]]
+    q = splits.quotas(b, due(b), SHARES)
+    assert all(sum(q[x.bundle]) == x.components for x in b)
+    rows = [sum(q[x.bundle][k] * x.size for x in b) for k in range(3)]
+    assert np.allclose(np.array(rows) / sum(rows), SHARES, atol=0.005)
+
+
+def test_many_bundles_are_solved_fast():
+    """Ten thousand bundles of different sizes and mixed labels, each split within one row of its share."""
+    import time
+
+    rng = np.random.default_rng(3)
+    b = [splits.Bundle(str(i), {x: int(n) for x, n in zip("pqr", rng.integers(0, 1 + i % 40, 3), strict=True) if n} or {"p": 1}, int(rng.integers(1, 6))) for i in range(10_000)]
+    began, q = time.process_time(), splits.quotas(b, due(b), SHARES)
+    assert time.process_time() - began < 20
+    rows = np.array([sum(q[x.bundle][k] * x.size for x in b) for k in range(3)])
+    assert abs(rows - rows.sum() * np.array(SHARES)).max() <= 2
+    for x in "pqr":
+        own = np.array([sum(q[y.bundle][k] * y.profile.get(x, 0) for y in b) for k in range(3)])
+        assert abs(own / own.sum() - SHARES).max() < 0.002
 
 
 def test_flow_is_optimal():
@@ -55,21 +81,21 @@ def test_flow_is_optimal():
 
     rng = np.random.default_rng(0)
     for _ in range(30):
-        left = {f"b{i}": ("pq"[int(rng.integers(2))], int(rng.integers(0, 3))) for i in range(4)}
+        left = [(splits.Bundle(f"b{i}", {"pq"[int(rng.integers(2))]: 2}, 3), int(rng.integers(0, 3))) for i in range(4)]
         lack = {(x, k): float(rng.normal(0, 3)) for x in "pq" for k in range(3)}
-        units = [b for b, (_, n) in left.items() for _ in range(n)]
+        units = [b.label for b, n in left for _ in range(n)]
 
         def cost(way):
             out = 0.0
             for x in "pq":
                 for k in range(3):
-                    out += (lack[x, k] - 2 * sum(left[b][0] == x and w == k for b, w in way)) ** 2
+                    out += (lack[x, k] - 2 * sum(label == x and w == k for label, w in way)) ** 2
             return out + sum((sum(lack[x, k] for x in "pq") - 2 * sum(w == k for _, w in way)) ** 2 for k in range(3))
 
-        got = splits._flow(left, lack, [0.8, 0.1, 0.1], 2.0)
-        assert sorted(b for b, _ in got) == sorted(units)
+        got = splits._flow(left, lack, SHARES, 2)
+        assert [sum(q) for _, q in got] == [n for _, n in left]
         best = min(cost(list(zip(units, way, strict=True))) for way in itertools.product(range(3), repeat=len(units)))
-        assert cost(got) == pytest.approx(best)
+        assert cost([(b.label, k) for b, q in got for k, n in enumerate(q) for _ in range(n)]) == pytest.approx(best)
 
 
 def test_assign(spark):
@@ -78,10 +104,11 @@ def test_assign(spark):
     rows = [("c", f"k{c}", None if c % 5 == 0 else "ab"[int(c) % 2]) for c in comp]
     records = spark.createDataFrame(rows, "cohort string, component string, label string")
     targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1), ("none", 0.0)], "split string, share double")
-    got = splits.assign_splits(records, targets).toPandas()
-    assert got["component"].is_unique and len(got) == 901 and set(got["split"]) == {"train", "validation", "test"}
-    share = got.groupby("split")["rows"].sum() / len(rows)
-    assert abs(share["train"] - 0.8) < 0.01 and abs(share["test"] - 0.1) < 0.01
+    for lot in (splits.LOT, 5):
+        got = splits.assign_splits(records, targets, lot=lot).toPandas()
+        assert got["component"].is_unique and len(got) == 901 and set(got["split"]) == {"train", "validation", "test"}
+        share = got.groupby("split")["rows"].sum() / len(rows)
+        assert abs(share["train"] - 0.8) < 0.01 and abs(share["test"] - 0.1) < 0.01
     assert splits.assign_splits(records.limit(0), targets).count() == 0
 
 
