@@ -34,7 +34,7 @@ def views(df: DataFrame, id_: str, y: str, group: str, blocks: dict[str, Column]
     return v.withColumn("all", whole).where(F.col("all").isNotNull() & ~F.exists("all", lambda e: e.isNull() | F.isnan(e)))
 
 
-def compare(v: DataFrame, blocks: list[str], n: int = 50) -> DataFrame:
+def compare(v: DataFrame, blocks: list[str], n: int = resample.DRAWS) -> DataFrame:
     """view, auc, lo, hi of each block, of their concatenation ("all"), of the softmax gate over blocks ("gated") and of a probe on the blocks' scores ("stacked")."""
     scored = None
     for b in [*blocks, "all"]:
@@ -47,8 +47,8 @@ def compare(v: DataFrame, blocks: list[str], n: int = 50) -> DataFrame:
     gated = cut(gated)
     stacked = linear.probe(gated.withColumn("x", F.col("s.score")), "id", "x", "y", "grp").select("id", "y", "grp", F.lit("stacked").alias("view"), "score")
     scored = cut(scored.unionByName(gated.select("id", "y", "grp", F.lit("gated").alias("view"), "score")).unionByName(stacked))
-    ci = resample.interval(resample.bootstrap_auc(scored, "id", "score", F.col("y"), n, ["view"]), "auc", ["view"])
-    return ranks.rank_auc(scored, ["view"], "score", F.col("y")).join(ci, "view").select("view", "auc", "lo", "hi")
+    drawn = cut(resample.bootstrap_auc(scored, "id", "score", F.col("y"), n, ["view"], observed=True))
+    return drawn.where("rep = -1").join(resample.interval(drawn.where("rep >= 0"), "auc", ["view"]), "view").select("view", "auc", "lo", "hi")
 
 
 def attribution(v: DataFrame, blocks: list[str]) -> DataFrame:

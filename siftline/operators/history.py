@@ -31,8 +31,8 @@ from siftline.operators.keyblocks import blocked, neighbour
 
 
 def hash_diff(attributes: list[str]) -> Column:
-    """Hash of the attributes in which null, empty and NaN values are told apart."""
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.length(F.col(f"`{a}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{a}`").cast("string")), F.lit("-")) for a in attributes)), 256)
+    """Hash (16 bytes) of the attributes in which null, empty and NaN values are told apart."""
+    return F.unhex(F.md5(F.concat_ws("|", *(F.coalesce(F.concat(F.length(F.col(f"`{a}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{a}`").cast("string")), F.lit("-")) for a in attributes))))
 
 
 def _deciding(records: DataFrame, key: str, at: str, attributes: list[str], tie: list[Column] | None) -> DataFrame:

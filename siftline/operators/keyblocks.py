@@ -35,9 +35,9 @@ def hot_splits(rows: DataFrame, keys: list[str], order: Column, min_rows: int =
     hot = beside(counts.where(F.col("count") > min_rows), counts.agg(F.sum("count").alias("all_rows"))).where(F.col("count") > target)
     hot = hot.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), (SAMPLED / target).alias("_share"))
     same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(hot[f"_k{i}"]) for i, k in enumerate(keys)])
-    picked = rows.join(F.broadcast(hot), same).where(F.rand(7) < F.col("_share")).groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_all"))
-    at = F.sequence(F.lit(SAMPLED), F.greatest(F.size("_all"), F.lit(SAMPLED)), F.lit(SAMPLED))
-    splits = F.filter(F.array_distinct(F.transform(at, lambda i: F.get("_all", i - 1))), lambda x: x.isNotNull())
+    picked = rows.join(F.broadcast(hot), same).where(F.rand(7) < F.col("_share")).groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_picked"))
+    at = F.sequence(F.lit(SAMPLED), F.greatest(F.size("_picked"), F.lit(SAMPLED)), F.lit(SAMPLED))
+    splits = F.filter(F.array_distinct(F.transform(at, lambda i: F.get("_picked", i - 1))), lambda x: x.isNotNull())
     # written once: a sample drawn again could differ, and all uses must see the same borders
     return cut(picked.select(*keys, splits.alias("_splits")).where(F.size("_splits") > 0))
 

@@ -61,36 +61,47 @@ def total(df: DataFrame, f: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
 def folds(df: DataFrame, id_: str, label: str, group: str | None, k: int, reps: int = 1) -> DataFrame:
     """df with ``fold``, an array with the row's fold in each repeat.
 
-    With a group, whole groups share a fold: up to MOST_GROUPS groups, a table of group and class counts comes
-    to the driver and each group, from the largest down, joins the fold whose class counts it evens out most;
-    more groups are spread by hash. Without, each class's rows are dealt in the order of a hash.
+    With a group, whole groups share a fold: of the MOST_GROUPS largest groups a table of group and class counts
+    comes to the driver and each, from the largest down, joins the fold whose class counts it evens out most; all
+    smaller ones are dealt to the folds in the order of a hash, by their most frequent class. Without, each class's
+    rows are dealt in the order of a hash.
     """
+
+    def dealt(units: DataFrame, unit: str, cls: str) -> DataFrame:
+        r = ranked_by_hash(replicate(units, reps), ["rep", cls], hash_unit(F.col(unit).cast("string"), F.lit("f"), F.col("rep").cast("string")), F.col(unit))
+        return r.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct("rep", ((F.col("hash_rank") - 1) % k).cast("int").alias("f")))).alias("x")).select(unit, F.col("x.f").alias("fold"))
+
     if group is None:
-        r = replicate(df.select(F.col(id_).alias("_id"), F.col(label).alias("_y")), reps)
-        r = ranked_by_hash(r, ["rep", "_y"], hash_unit(F.col("_id").cast("string"), F.lit("f"), F.col("rep").cast("string")), F.col("_id"))
-        f = r.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("rep", ((F.col("hash_rank") - 1) % k).cast("int").alias("f")))).alias("x")).select(F.col("_id").alias(id_), F.col("x.f").alias("fold"))
-        return df.join(f, id_)
+        f = dealt(df.select(F.col(id_).alias("_id"), F.col(label).alias("_y")), "_id", "_y")
+        return df.join(f.withColumnRenamed("_id", id_), id_)
     g = F.coalesce(F.col(group).cast("string"), F.lit("__na__"))
-    hist = df.groupBy(g.alias("_g"), F.col(label).alias("_y")).agg(F.count("*").alias("n"), F.first(F.xxhash64(g)).alias("h"))
-    rows = hist.limit(4 * MOST_GROUPS + 1).collect()
-    if len(rows) > 4 * MOST_GROUPS:
-        return df.withColumn("fold", F.array(*(F.pmod(F.xxhash64(g, F.lit(r)), F.lit(k)).cast("int") for r in range(reps))))
-    classes = sorted({r["_y"] for r in rows})
+    hist = cut(df.groupBy(g.alias("_g"), F.col(label).alias("_y")).agg(F.count("*").alias("n")))
+    size = hist.groupBy("_g").agg(F.sum("n").alias("s"), F.max_by("_y", F.struct("n", "_y")).alias("_top"))
+    large = size.orderBy(F.col("s").desc(), "_g").limit(MOST_GROUPS + 1)
+    rows = hist.join(large.select("_g"), "_g").collect()  # classes of MOST_GROUPS + 1 groups at most
     count: dict[str, np.ndarray] = {}
+    classes = sorted({r["_y"] for r in rows})
     for r in rows:
         count.setdefault(r["_g"], np.zeros(len(classes)))[classes.index(r["_y"])] += r["n"]
-    whole = sum(count.values(), np.zeros(len(classes)))
-    out = {name: [] for name in count}
+    order = sorted(count, key=lambda n: (-count[n].sum(), n))
+    more, order = len(order) > MOST_GROUPS, order[:MOST_GROUPS]
+    whole = sum((count[n] for n in order), np.zeros(len(classes)))
+    out: dict[str, list[int]] = {name: [] for name in order}
     for rep in range(reps):
         rng = np.random.default_rng(rep)
         have = np.zeros((k, len(classes)))
-        for name in sorted(sorted(count), key=lambda n: (-count[n].sum(), rng.random())):
+        luck = {n: rng.random() for n in sorted(order)}
+        for name in sorted(order, key=lambda n: (-count[n].sum(), luck[n])):
             spread = [np.std(np.vstack([have[:j], have[j : j + 1] + count[name], have[j + 1 :]]) / np.maximum(whole, 1), axis=0).mean() for j in range(k)]
             j = min(range(k), key=lambda j: (round(spread[j], 12), have[j].sum()))
             have[j] += count[name]
             out[name].append(j)
     t = df.sparkSession.createDataFrame([(n, f) for n, f in out.items()], "_g string, fold array<int>")
-    return df.withColumn("_g", g).join(F.broadcast(t), "_g").drop("_g")  # at most MOST_GROUPS rows
+    r = df.withColumn("_g", g)
+    if not more:
+        return r.join(F.broadcast(t), "_g").drop("_g")  # at most MOST_GROUPS rows
+    small = dealt(size.join(F.broadcast(t.select("_g")), "_g", "left_anti").select("_g", "_top"), "_g", "_top")
+    return r.join(small.unionByName(t), "_g").drop("_g")
 
 
 @dataclass

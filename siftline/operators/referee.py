@@ -25,13 +25,16 @@ BANDS = [(85, "robust"), (70, "partly robust"), (40, "fragile"), (0, "refuted")]
 RUNGS = ["raw_pattern", "stable_cluster", "confound_survivor", "severity_anchored", "externally_replicated"]
 
 
-def naive_effect(df: DataFrame, id_: str, emb: str, y: str, group: str | None, reps: int = 2, n: int = 50) -> tuple[DataFrame, DataFrame]:
+REPEATS = 8
+
+
+def naive_effect(df: DataFrame, id_: str, emb: str, y: str, group: str | None, reps: int = REPEATS, n: int = resample.DRAWS) -> tuple[DataFrame, DataFrame]:
     """(one row: n, auc, lo, hi, p; the out-of-fold scores)."""
     o = cut(linear.probe(df, id_, emb, y, group, reps=reps, keep=[c for c in ("site", "age") if c in df.columns]))
-    a = ranks.rank_auc(o, [], "score", F.col("y")).select((F.col("pos") + F.col("neg")).alias("n"), "auc")
-    ci = resample.interval(resample.bootstrap_auc(o, "id", "score", F.col("y"), n), "auc")
+    drawn = cut(resample.bootstrap_auc(o, "id", "score", F.col("y"), n, observed=True))
+    a = drawn.where("rep = -1").select((F.col("pos") + F.col("neg")).alias("n"), "auc")
     p = resample.p_value(resample.permuted_auc(o, "id", "score", F.col("y"), "grp" if group else None, n), a, "auc", n)
-    return beside(p, ci).select("n", "auc", "lo", "hi", "p"), o
+    return beside(p, resample.interval(drawn.where("rep >= 0"), "auc")).select("n", "auc", "lo", "hi", "p"), o
 
 
 def retained(after: Column, before: Column) -> Column:
@@ -51,12 +54,10 @@ def covariate_test(df: DataFrame, id_: str, emb: str, y: str, group: str, covari
     return x.select(F.lit("covariates").alias("key"), grade(share).alias("result"), share.alias("value"))
 
 
-def batch_test(df: DataFrame, id_: str, emb: str, batch: str, scores: DataFrame, n: int = 50, site: str | None = None) -> DataFrame:
-    """The outcome's area (grouped folds) less the batch's (ungrouped folds), with the interval of paired replicates.
+def batch_scores(df: DataFrame, id_: str, emb: str, batch: str, site: str | None = None) -> DataFrame:
+    """id, y, k (classes), cls, s: out-of-fold scores (ungrouped folds) of each class of ``batch``, or of ``site`` where that has less than two.
 
-    The batch's area is the mean over its classes, one against the rest; a replicate without one of them has none.
-    Where ``batch`` has less than two classes, ``site`` takes its place. A class of one row is left out, as no
-    model can both learn it and be tried on it.
+    A class of one row is left out, as no model can both learn it and be tried on it. Of two classes one is kept, as both areas are the same.
     """
     v, seen = df.where(F.col(id_).isNotNull() & F.col(emb).isNotNull()), None
     for c in [batch] + ([site] if site else []):
@@ -65,14 +66,36 @@ def batch_test(df: DataFrame, id_: str, emb: str, batch: str, scores: DataFrame,
         if len(usual.limit(2).collect()) == 2:
             break
     b = linear.probe(seen, id_, emb, "_code").select("id", "y", F.size("scores").alias("k"), F.posexplode("scores").alias("cls", "s"))
-    b = cut(b.where("k > 2 or cls = 1"))  # of two classes both areas are the same
+    return cut(b.where("k > 2 or cls = 1"))
+
+
+def leakage_margin(scores: DataFrame, batch: DataFrame, group: str | None = None, n: int = resample.DRAWS) -> DataFrame:
+    """One row: outcome (area), batch (mean area over classes), margin with lo and hi of paired replicates, p of each and q over the three.
+
+    scores: id, y, score and the group the labels are shuffled within; batch: from batch_scores. The margin's p is the
+    share of shuffled outcomes that lie as far above the batch's area. A replicate without one of the batch's classes has no area.
+    """
     own = (F.col("y") == F.col("cls")).cast("int")
     macro = F.when(F.count("auc") == F.count("*"), F.avg("auc"))
-    both = resample.bootstrap_auc(scores, "id", "score", F.col("y"), n).withColumnRenamed("auc", "a").join(resample.bootstrap_auc(b, "id", "s", own, n, ["cls"]).groupBy("rep").agg(macro.alias("b")), "rep")
-    ci = resample.interval(both.withColumn("m", F.col("a") - F.col("b")), "m")
-    x = beside(beside(ranks.rank_auc(scores, [], "score", F.col("y")).agg(F.max("auc").alias("a")), ranks.rank_auc(b, ["cls"], "s", own).agg(macro.alias("b"))), ci)
-    m = F.col("a") - F.col("b")
-    return x.select(F.lit("batch").alias("key"), F.when(m.isNull(), "na").when(m <= 0, "fail").when(F.col("lo") > 0, "pass").otherwise("weak").alias("result"), m.alias("value"))
+    outcome = resample.bootstrap_auc(scores, "id", "score", F.col("y"), n, observed=True).select("rep", F.col("auc").alias("a"))
+    both = cut(outcome.join(resample.bootstrap_auc(batch, "id", "s", own, n, ["cls"], observed=True).groupBy("rep").agg(macro.alias("b")), "rep").withColumn("m", F.col("a") - F.col("b")))
+    seen = both.where("rep = -1")
+    x = beside(seen.agg(F.max("a").alias("outcome"), F.max("b").alias("batch"), F.max("m").alias("margin")), resample.interval(both.where("rep >= 0"), "m"))
+    null_a, null_b = resample.permuted_auc(scores, "id", "score", F.col("y"), group, n), resample.permuted_macro(batch, n)
+    nulls = beside(null_a.select(F.lit("a").alias("of"), "auc").unionByName(null_b.select(F.lit("b").alias("of"), "auc")), x.select("outcome", "batch", "margin"))
+    hit = lambda of, c: (1 + F.coalesce(F.sum(((F.col("of") == of) & c).cast("int")), F.lit(0))) / F.lit(n + 1)
+    p = nulls.agg(hit("a", F.col("auc") >= F.col("outcome") - 1e-12).alias("outcome_p"), hit("b", F.col("auc") >= F.col("batch") - 1e-12).alias("batch_p"), hit("a", F.col("auc") - F.col("batch") >= F.col("margin") - 1e-12).alias("margin_p"))
+    x, ps = beside(x, p), ["outcome_p", "batch_p", "margin_p"]
+    # step-up over three values: each value's least p * 3 / rank among those not below it
+    ranked = F.array_sort(F.array(*ps))
+    q = lambda c: F.array_min(F.transform(F.filter(F.arrays_zip(ranked.alias("p"), F.array(*(F.lit(i) for i in (1, 2, 3))).alias("i")), lambda z: z["p"] >= F.col(c)), lambda z: F.least(z["p"] * 3 / z["i"], F.lit(1.0))))
+    return x.withColumns({c.replace("_p", "_q"): q(c) for c in ps})
+
+
+def batch_test(margin: DataFrame) -> DataFrame:
+    """key, result, value: the margin decides, and that its interval is above 0."""
+    m = F.col("margin")
+    return margin.select(F.lit("batch").alias("key"), F.when(m.isNull(), "na").when(m <= 0, "fail").when(F.col("lo") > 0, "pass").otherwise("weak").alias("result"), m.alias("value"))
 
 
 def _coded(df: DataFrame, column: str) -> DataFrame:
@@ -107,7 +130,7 @@ def brain_age_test(df: DataFrame, id_: str, emb: str, y: str, group: str, before
     return covariate_test(g, id_, emb, y, group, ["_gap"], before).withColumn("key", F.lit("brain_age"))
 
 
-def replication_test(scores: DataFrame, site: str = "site", least: int = 40, n: int = 50) -> DataFrame:
+def replication_test(scores: DataFrame, site: str = "site", least: int = 40, n: int = resample.DRAWS) -> DataFrame:
     """The area on the smallest sites, pooled until they hold ``least`` rows and both classes; its interval's lower end decides.
 
     The test isn't made where no pool gets there, or the sites left have under six rows or one class.
@@ -121,7 +144,8 @@ def replication_test(scores: DataFrame, site: str = "site", least: int = 40, n:
     enough = (F.col("upto") >= least) & F.col("ones").between(1, F.col("upto") - 1) & (left >= 6) & left_ones.between(1, left - 1)
     last = c.where(enough).agg(F.min(F.struct(*order)).alias("last"))
     pool = cut(v.join(beside(c, last).where(F.struct(*order) <= F.col("last")).select(site), site, "left_semi"))
-    x = beside(ranks.rank_auc(pool, [], "score", F.col("y")).agg(*(F.max(k).alias(k) for k in ("pos", "neg", "auc"))), resample.interval(resample.bootstrap_auc(pool, "id", "score", F.col("y"), n), "auc").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")))
+    drawn = cut(resample.bootstrap_auc(pool, "id", "score", F.col("y"), n, observed=True))
+    x = beside(drawn.where("rep = -1").agg(*(F.max(k).alias(k) for k in ("pos", "neg", "auc"))), resample.interval(drawn.where("rep >= 0"), "auc").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")))
     ok = F.col("auc").isNotNull() & F.col("lo").isNotNull() & ~((F.col("hi") - F.col("lo") < 0.02) & (F.col("pos") + F.col("neg") < 12))
     return x.select(F.lit("replication").alias("key"), F.when(~ok, "na").when(F.col("lo") >= 0.65, "pass").when(F.col("lo") > 0.5, "weak").otherwise("fail").alias("result"), F.col("auc").alias("value"))
 
@@ -158,7 +182,7 @@ def referee(df: DataFrame, id_: str, emb: str, y: str, site: str, batch: str, co
     effect, scores = naive_effect(df, id_, emb, y, site)
     effect = cut(effect)
     tests = covariate_test(df, id_, emb, y, site, covariates, effect)
-    for t in (batch_test(df, id_, emb, batch, scores, site=site), brain_age_test(df, id_, emb, y, site, effect), biomarker_test(scores, df.select(F.col(id_).cast("string").alias("id"), *markers), markers), replication_test(scores)):
+    for t in (batch_test(leakage_margin(scores, batch_scores(df, id_, emb, batch, site), "grp")), brain_age_test(df, id_, emb, y, site, effect), biomarker_test(scores, df.select(F.col(id_).cast("string").alias("id"), *markers), markers), replication_test(scores)):
         tests = tests.unionByName(t)
     tests = cut(tests)
     return tests, verdict(tests), effect

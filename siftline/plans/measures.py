@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,13 +174,17 @@ def rank_precision_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 _U = "CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT) / 4294967296.0"
-_EDGES = []
-_at = 0.0
-for _k in range(6):
-    _at += math.exp(-1) / math.factorial(_k)
-    _EDGES.append(_at)
-_POIS = "CASE " + " ".join(f"WHEN u < {e!r} THEN {k}" for k, e in enumerate(_EDGES)) + " ELSE 6 END"
-_REPS = 50
+_REPS = resample.DRAWS
+_P31 = resample.PRIME
+_POIS = "(" + " + ".join(f"(u >= {e})::INT" for e in resample._edges().tolist()) + ")"
+_CODE = lambda text, at=1: f"CAST(('0x' || substr(md5({text}), {at}, 8)) AS BIGINT)"
+
+
+def _affine(tag: str, groups: str, size: str) -> str:
+    """SQL of g(rep, grp, n, a, b): the affine map of each replicate and group; groups has grp and the rows ``size``."""
+    return f"""ab AS (SELECT rep, {_CODE(f"'{tag}a:' || rep")} % {_P31 - 1} + 1 AS a1, {_CODE(f"'{tag}a:' || rep", 9)} % {_P31} AS b1, {_CODE(f"'{tag}b:' || rep")} % {_P31 - 1} + 1 AS a2, {_CODE(f"'{tag}b:' || rep", 9)} % {_P31} AS b2 FROM reps),
+ gx AS (SELECT rep, grp, {size} AS n, ((a1 * x + b1) % {_P31}) % {size} + 1 AS cand, ((a2 * x + b2) % {_P31}) % {size} AS b FROM (SELECT *, {_CODE("grp::VARCHAR")} % {_P31} AS x FROM {groups}), ab),
+ gm AS (SELECT rep, grp, n, cand + list_filter(range(64), lambda j: gcd(cand + j, n) = 1)[1] AS a, b FROM gx)"""
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -192,29 +194,31 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 _SC = f"{_C}, s AS (SELECT subject_id, nfl, site, (dx = 'AD')::INT AS y FROM c WHERE dx IN ('AD', 'CN') AND nfl IS NOT NULL), reps AS (SELECT unnest(range({_REPS})) AS rep)"
 
 
-@query("resample_bootstrap", f"""WITH {_SC}, b AS (SELECT rep, nfl, y, {_U.format("subject_id || ':' || rep")} AS u FROM s, reps), w AS (SELECT rep, nfl, sum(y * k) p, sum((1 - y) * k) q FROM (SELECT *, {_POIS} AS k FROM b) GROUP BY rep, nfl),
-x AS (SELECT rep, p, q, coalesce(sum(q) OVER (PARTITION BY rep ORDER BY nfl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w), a AS (SELECT rep, sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS auc FROM x GROUP BY rep)
+_AUC = "w AS (SELECT rep, nfl, sum(p) p, sum(q) q FROM l GROUP BY rep, nfl), x AS (SELECT rep, p, q, coalesce(sum(q) OVER (PARTITION BY rep ORDER BY nfl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w), a AS (SELECT rep, sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS auc FROM x GROUP BY rep)"
+
+
+@query("resample_bootstrap", f"""WITH {_SC}, ab AS (SELECT rep, {_CODE("'b:' || rep")} % {_P31 - 1} + 1 AS a, {_CODE("'b:' || rep", 9)} % {_P31} AS b FROM reps), b AS (SELECT rep, nfl, y, (a * ({_CODE("subject_id")} % {_P31}) + b) % {_P31} AS u FROM s, ab), l AS (SELECT rep, nfl, y * {_POIS} AS p, (1 - y) * {_POIS} AS q FROM b), {_AUC}
 SELECT count(*) AS reps, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a""")
 def resample_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _round(resample.interval(resample.bootstrap_auc(_scored(spark, d), "subject_id", "nfl", F.col("y"), _REPS), "auc"), "lo", "hi")
+    return _round(resample.interval(resample.bootstrap_auc(_scored(spark, d), "subject_id", "nfl", F.col("y")), "auc"), "lo", "hi")
 
 
-@query("resample_permutation", f"""WITH {_SC}, t AS (SELECT nfl, y FROM s), g AS (SELECT coalesce(site, '__na__') AS grp, sum(y) AS k FROM s GROUP BY 1), r AS (SELECT rep, nfl, row_number() OVER (PARTITION BY rep, coalesce(site, '__na__') ORDER BY {_U.format("subject_id || ':p:' || rep")}, subject_id) AS n, coalesce(site, '__na__') AS grp FROM s, reps),
-l AS (SELECT rep, nfl, (n <= k)::INT AS y FROM r JOIN g USING (grp) UNION ALL SELECT -1, nfl, y FROM t), w AS (SELECT rep, nfl, sum(y) p, sum(1 - y) q FROM l GROUP BY rep, nfl), x AS (SELECT rep, p, q, coalesce(sum(q) OVER (PARTITION BY rep ORDER BY nfl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM w),
-a AS (SELECT rep, sum(p * (below + q / 2)) / (sum(p) * sum(q)) AS auc FROM x GROUP BY rep) SELECT round(max(auc) FILTER (rep = -1), 6) AS auc, round((1 + count(*) FILTER (rep >= 0 AND auc >= (SELECT auc FROM a WHERE rep = -1) - 1e-12)) / {_REPS + 1}, 6) AS p FROM a""")
+@query("resample_permutation", f"""WITH {_SC}, v AS (SELECT nfl, y, coalesce(site, '__na__') AS grp, row_number() OVER (PARTITION BY coalesce(site, '__na__') ORDER BY {_U.format("subject_id || ':p'")}, subject_id) - 1 AS i FROM s), gs AS (SELECT grp, sum(y) AS k, count(*) AS size FROM v GROUP BY 1), {_affine("p", "gs", "size")},
+l AS (SELECT rep, nfl, ((a * i + b) % n < k)::INT AS p, 1 - ((a * i + b) % n < k)::INT AS q FROM v JOIN gs USING (grp) JOIN gm USING (grp) UNION ALL SELECT -1, nfl, y, 1 - y FROM v), {_AUC}
+SELECT round(max(auc) FILTER (rep = -1), 6) AS auc, round((1 + count(*) FILTER (rep >= 0 AND auc >= (SELECT auc FROM a WHERE rep = -1) - 1e-12)) / {_REPS + 1}, 6) AS p FROM a""")
 def resample_permutation(spark: SparkSession, d: str) -> DataFrame:
     """Labels shuffled within sites, scores frozen."""
     s = _scored(spark, d)
     seen = ranks.rank_auc(s, [], "nfl", F.col("y")).select("auc")
-    return _round(resample.p_value(resample.permuted_auc(s, "subject_id", "nfl", F.col("y"), "site", _REPS), seen, "auc", _REPS), "auc", "p")
+    return _round(resample.p_value(resample.permuted_auc(s, "subject_id", "nfl", F.col("y"), "site"), seen, "auc", _REPS), "auc", "p")
 
 
-@query("resample_matched_null", f"""WITH {_C}, d AS (SELECT subject_id, dx, round(age / 10) AS stratum, nfl FROM c WHERE age IS NOT NULL AND nfl IS NOT NULL), k AS (SELECT stratum, count(*) k FROM d WHERE dx = 'AD' GROUP BY 1), reps AS (SELECT unnest(range({_REPS})) AS rep),
-r AS (SELECT rep, nfl, k, row_number() OVER (PARTITION BY rep, stratum ORDER BY {_U.format("subject_id || ':m:' || rep")}, subject_id) AS n FROM d JOIN k USING (stratum), reps) SELECT CAST(rep AS INT) AS rep, round(avg(nfl), 6) AS mean FROM r WHERE n <= k GROUP BY rep""")
+@query("resample_matched_null", f"""WITH {_C}, reps AS (SELECT unnest(range({_REPS})) AS rep), d AS (SELECT subject_id, (dx IS NOT NULL AND dx = 'AD')::INT AS y, CAST(round(age / 10) AS INT) AS grp, nfl FROM c WHERE age IS NOT NULL AND nfl IS NOT NULL), v AS (SELECT nfl, y, grp, row_number() OVER (PARTITION BY grp ORDER BY {_U.format("subject_id || ':m'")}, subject_id) - 1 AS i FROM d WHERE subject_id IS NOT NULL),
+gs AS (SELECT grp, sum(y) AS k, count(*) AS size FROM v GROUP BY 1), {_affine("m", "gs", "size")} SELECT CAST(rep AS INT) AS rep, round(avg(nfl), 6) AS mean FROM v JOIN gs USING (grp) JOIN gm USING (grp) WHERE (a * i + b) % n < k GROUP BY rep""")
 def resample_matched_null(spark: SparkSession, d: str) -> DataFrame:
     """Means of random sets that match a set's strata."""
-    c = co.contract(spark, d).where("age is not null and nfl is not null").withColumn("stratum", F.round(F.col("age") / 10))
-    return _round(resample.matched_null(c, "subject_id", F.col("dx") == "AD", "stratum", "nfl", _REPS), "mean")
+    c = co.contract(spark, d).where("age is not null and nfl is not null").withColumn("stratum", F.round(F.col("age") / 10).cast("int"))
+    return _round(resample.matched_null(c, "subject_id", F.col("dx") == "AD", "stratum", "nfl"), "mean")
 
 
 @query("resample_delong", f"""WITH {_C}, s AS (SELECT subject_id, (dx = 'AD')::INT y, nfl a, gfap b FROM c WHERE dx IN ('AD', 'CN') AND nfl IS NOT NULL AND gfap IS NOT NULL), n AS (SELECT sum(y) m, sum(1 - y) n FROM s),

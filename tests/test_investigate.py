@@ -85,8 +85,10 @@ def test_batch_leaks(spark, scanners, sites):
     rows = [(str(i), [float(i % max(scanners, sites) == j) + 0.01 * ((i * 7) % 5) for j in range(4)], f"m{i % scanners}", f"s{i % sites}") for i in range(120)]
     df = spark.createDataFrame([*rows, ("rare", [0.0] * 4, "once", "once")], "id string, emb array<double>, scanner string, site string")
     scores = spark.createDataFrame([(str(i), i // 4 % 2, (i * 37 % 101) / 101 + i // 4 % 2 * 0.3) for i in range(120)], "id string, y int, score double")
-    got = referee.batch_test(df, "id", "emb", "scanner", scores, 20, site="site").first()
+    margin = referee.leakage_margin(scores, referee.batch_scores(df, "id", "emb", "scanner", "site"), None, 50).first()
+    got = referee.batch_test(spark.createDataFrame([margin])).first()
     assert got["result"] == "fail" and -0.5 < got["value"] < 0
+    assert margin["batch_p"] < 0.05 < margin["margin_p"] and margin["batch_q"] <= margin["margin_q"]
 
 
 def test_replication_pools_both_classes(spark):
