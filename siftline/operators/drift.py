@@ -56,9 +56,9 @@ def cells(records: DataFrame) -> DataFrame:
     return c.withColumn("kind", kind).drop("t")
 
 
-def profiles(records: DataFrame) -> DataFrame:
-    """feed, file_no, field, kind, n (values), old and new (sketches over the records shared with the next, the previous file)."""
-    c = cells(latest(records))
+def profiles(read: DataFrame) -> DataFrame:
+    """feed, file_no, field, kind, n (values), old and new (sketches over the records shared with the next, the previous file); read is from ``latest``."""
+    c = cells(read)
     h = F.xxhash64("rec_no")
     c = c.withColumns({"slot": F.pmod(h, F.lit(SLOTS)).cast("int"), "h": F.xxhash64("rec_no", F.lit(7)), "v": F.when(F.col("value").isNotNull(), F.xxhash64(canonical(F.col("value"))))})
     kinds = ["string", "boolean", "integer", "decimal", "array", "object"]
@@ -137,9 +137,14 @@ def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["feed", "file_no", "prior_field", "field"])
 
 
-def changes(records: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+def changes(records: DataFrame) -> DataFrame:
     """feed, file_no, change (renamed, added, removed, retyped), field, prior_field; see TESTDATA.md, p5_found."""
-    p = profile if profile is not None else cut(profiles(records))
+    read = cut(latest(records))
+    return changes_of(read, cut(profiles(read)))
+
+
+def changes_of(read: DataFrame, p: DataFrame) -> DataFrame:
+    """The changes of records that were read once (``latest``) and their profiles."""
     files = p.select("feed", "file_no").distinct()
     pairs = files.join(files.select("feed", (F.col("file_no") + 1).alias("file_no")), ["feed", "file_no"])
     a = p.select("feed", (F.col("file_no") + 1).alias("file_no"), "field", F.col("kind").alias("k0"), "old").join(pairs, ["feed", "file_no"], "left_semi")
@@ -150,7 +155,7 @@ def changes(records: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     g = gone.groupBy("feed", "file_no").agg(F.collect_list(F.struct("field", F.col("k0").alias("kind"), F.col("old").alias("sketch"))).alias("gone"))
     c = came.groupBy("feed", "file_no").agg(F.collect_list(F.struct("field", F.col("k1").alias("kind"), F.col("new").alias("sketch"))).alias("came"))
     pair = "feed string, file_no int, prior_field string, field string"
-    held = _checked(records, cut(g.join(c, ["feed", "file_no"]).mapInPandas(_possible, pair)))
+    held = _checked(read, cut(g.join(c, ["feed", "file_no"]).mapInPandas(_possible, pair)))
     kinds = [gone.select("feed", "file_no", F.col("field").alias("prior_field"), "k0"), came.select("feed", "file_no", "field", "k1")]
     edges = held.join(kinds[0], ["feed", "file_no", "prior_field"]).join(kinds[1], ["feed", "file_no", "field"]).groupBy("feed", "file_no").agg(F.collect_list(F.struct("prior_field", "field", "n", F.coalesce(F.col("k0") == F.col("k1"), F.lit(False)).alias("alike"))).alias("edges"))
     renamed = cut(edges.mapInPandas(_match, pair))
@@ -167,12 +172,12 @@ def changes(records: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     return r
 
 
-def _checked(records: DataFrame, likely: DataFrame) -> DataFrame:
+def _checked(read: DataFrame, likely: DataFrame) -> DataFrame:
     """The pairs whose values agree in every record of both files that has both, with n, the number of these records."""
     sides = likely.select("feed", F.explode(F.array(F.struct((F.col("file_no") - 1).alias("file_no"), F.lit(0).alias("side"), F.col("prior_field").alias("name")), F.struct("file_no", F.lit(1).alias("side"), F.col("field").alias("name")))).alias("x"), F.col("file_no").alias("to"), "prior_field", "field")
     per = sides.groupBy("feed", "x.file_no").agg(F.collect_list(F.struct("x.side", "x.name", "to", "prior_field", "field")).alias("ps"))
     # only the paired fields' cells are made, and the records of a file are never joined with each other
-    r = latest(records).join(per, ["feed", "file_no"]).withColumn("m", F.from_json("record", "map<string,string>"))
+    r = read.join(per, ["feed", "file_no"]).withColumn("m", F.from_json("record", "map<string,string>"))
     c = r.select("feed", "rec_no", "m", F.explode("ps").alias("p")).select("feed", "rec_no", "p.*", canonical(F.try_element_at("m", F.col("p.name"))).alias("v")).where("v is not null")
     met = c.groupBy("feed", "to", "rec_no", "prior_field", "field").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("v1")).where("v0 is not null and v1 is not null")
     return met.groupBy("feed", F.col("to").alias("file_no"), "prior_field", "field").agg(F.bool_and(F.col("v0") == F.col("v1")).alias("same"), F.count("*").alias("n")).where("same").drop("same")
@@ -212,12 +217,13 @@ def unify(records: DataFrame, target: T.StructType, keep_text: tuple[str, ...] =
     type is null. Extra fields become columns of their own; beyond ``most_extras`` of them, or where a name
     clashes with feed, file_no or rec_no, they are entries of the map column ``more``.
     """
-    p = cut(profiles(records))
-    lin = cut(lineage(p, changes(records, p), target.names))
+    read = cut(latest(records))
+    p = cut(profiles(read))
+    lin = cut(lineage(p, changes_of(read, p), target.names))
     names = [r[0] for r in lin.where(~F.col("name").isin(target.names)).select("name").distinct().orderBy("name").limit(most_extras).collect()]
     extras = [x for x in names if x.lower() not in {"feed", "file_no", "rec_no", "more", *map(str.lower, target.names)}]
     maps = lin.groupBy("feed", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
-    r = latest(records).join(maps, ["feed", "file_no"], "left")
+    r = read.join(maps, ["feed", "file_no"], "left")
     r = r.withColumn("m", F.transform_keys(F.from_json("record", "map<string,string>"), lambda k, _: F.coalesce(F.try_element_at("names", k), k)))
     have = set(target.names) | set(extras)
     return r.select(

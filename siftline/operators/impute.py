@@ -82,15 +82,16 @@ def _numbers(part: DataFrame, keys: list[str], f: Field) -> DataFrame:
     totals = sums.agg(
         F.sum("n").alias("all_n"), F.count("*").alias("all_j"), (F.sum("sv") / F.sum("n")).alias("mu"), F.coalesce(F.sum("st") / F.sum("nt"), F.lit(0.0)).alias("mid"),
         F.coalesce(F.try_divide(F.sum(F.when(F.col("nt") > 0, F.col("svt") - F.col("st") * F.col("svt1") / F.col("nt")).otherwise(0.0)), F.nullif(F.sum(F.when(F.col("nt") > 0, F.col("stt") - F.col("st") ** 2 / F.col("nt")).otherwise(0.0)), F.lit(0.0))), F.lit(0.0)).alias("slope"),
-        F.sum(F.col("n") ** 2).alias("nn"), F.sum(F.col("svv") - F.col("sv") ** 2 / F.col("n")).alias("within"), F.sum(F.col("sv") ** 2 / F.col("n")).alias("between0"), F.sum("sv").alias("all_sv"),
+        F.sum(F.col("n") ** 2).alias("nn"), F.sum(F.col("svv") - F.col("sv") ** 2 / F.col("n")).alias("within"),
         F.sum(F.when(F.col("nt") > 0, F.col("svt") - F.col("st") * F.col("svt1") / F.col("nt")).otherwise(0.0)).alias("sxy"),
     )
-    m = beside(sums, totals)
+    rest = F.col("sv") / F.col("n") - F.col("mu") - F.col("slope") * F.coalesce(F.try_divide("st", "nt") - F.col("mid"), F.lit(0.0))
+    m = beside(sums, totals).withColumn("rest", rest)
+    m = beside(m, m.agg((F.sum(F.col("n") * F.col("rest") ** 2) - F.sum(F.col("n") * F.col("rest")) ** 2 / F.sum("n")).alias("between")))
     e2 = F.greatest((F.col("within") - F.col("slope") * F.col("sxy")) / F.greatest(F.col("all_n") - F.col("all_j") - 1, F.lit(1)), F.lit(1e-9))
     size = (F.col("all_n") - F.col("nn") / F.col("all_n")) / F.greatest(F.col("all_j") - 1, F.lit(1))
-    u2 = F.greatest(((F.col("between0") - F.col("all_sv") ** 2 / F.col("all_n")) / F.greatest(F.col("all_j") - 1, F.lit(1)) - e2) / F.greatest(size, F.lit(1.0)), F.lit(0.0))
-    rest = F.col("sv") / F.col("n") - F.col("mu") - F.col("slope") * F.coalesce(F.try_divide("st", "nt") - F.col("mid"), F.lit(0.0))
-    effect = F.col("n") * u2 / (F.col("n") * u2 + e2) * rest
+    u2 = F.greatest((F.col("between") / F.greatest(F.col("all_j") - 1, F.lit(1)) - e2) / F.greatest(size, F.lit(1.0)), F.lit(0.0))
+    effect = F.col("n") * u2 / (F.col("n") * u2 + e2) * F.col("rest")
     return m.select(*keys, F.struct(F.col("mu"), F.col("slope"), F.col("mid"), effect.alias("effect")).alias("_m"))
 
 

@@ -268,29 +268,44 @@ def _trade(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("b")).agg(F.count("*").alias("w"))
 
 
-@query("graph_walk_with_restart")
+_TRADE = "t AS (SELECT 's' || l_suppkey AS a, 'n' || c_nationkey AS b, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
+
+
+def _spread(least: int, steps: int, step: str) -> str:
+    """CTEs p0 to p<steps>: the seeds' shares pushed along the normalised edges, one CTE a step; step is what one push adds up."""
+    out = f"""{_TRADE}, e AS (SELECT a AS src, b AS dst, w FROM t WHERE w >= {least} UNION ALL SELECT b, a, w FROM t WHERE w >= {least}), g AS (SELECT src, sum(w) s, count(*) n FROM e GROUP BY src),
+ nw AS MATERIALIZED (SELECT e.src, e.dst, w / sqrt(g.s * h.s) AS w FROM e JOIN g ON e.src = g.src JOIN g h ON e.dst = h.src), p0 AS (SELECT src AS node, 1.0::DOUBLE / count(*) OVER () AS p FROM g WHERE src IN ('n1', 'n7'))"""
+    for k in range(steps):
+        out += f", p{k + 1} AS MATERIALIZED (SELECT node, sum(p) AS p FROM ({step.format(prev=f'p{k}', k=k + 1)}) GROUP BY node)"
+    return out
+
+
+_WALK = _spread(0, 24, "SELECT dst AS node, w * p * 0.5 AS p FROM nw JOIN {prev} ON src = node UNION ALL SELECT node, p * 0.5 FROM p0")
+_WALK2 = _spread(2, 24, "SELECT dst AS node, w * p * 0.5 AS p FROM nw JOIN {prev} ON src = node UNION ALL SELECT node, p * 0.5 FROM p0")
+_HEAT = _spread(0, 14, "SELECT dst AS node, w * p * 0.5 / {k} AS p FROM nw JOIN {prev} ON src = node")
+
+
+@query("graph_walk_with_restart", f"WITH {_WALK} SELECT g.src AS node, round(coalesce(p, 0), 9) AS score FROM g LEFT JOIN p24 ON node = g.src")
 def graph_walk_with_restart(spark: SparkSession, d: str) -> DataFrame:
     e = cut(graphs.undirected(_trade(spark, d), "a", "b", "w"))
     seeds = e.where("src in ('n1', 'n7')").select("src").distinct()
     return _round(graphs.walk_with_restart(e, seeds), "score", n=9)
 
 
-@query("graph_heat")
+@query("graph_heat", f"WITH {_HEAT}, a AS ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(15))}) SELECT g.src AS node, round(coalesce(sum(p) * exp(-0.5), 0), 9) AS score FROM g LEFT JOIN a ON node = g.src GROUP BY g.src")
 def graph_heat(spark: SparkSession, d: str) -> DataFrame:
     e = cut(graphs.undirected(_trade(spark, d), "a", "b", "w"))
     return _round(graphs.heat_diffusion(e, e.where("src in ('n1', 'n7')").select("src").distinct()), "score", n=9)
 
 
-@query("graph_hubs")
+@query("graph_hubs", f"""WITH {_WALK2}, sc AS (SELECT g.src AS node, coalesce(p, 0) AS score, n AS degree FROM g LEFT JOIN p24 ON node = g.src), q AS (SELECT quantile_cont(n, 0.75) AS q FROM g),
+b AS (SELECT *, row_number() OVER (ORDER BY score DESC, node) AS k FROM sc WHERE node NOT IN ('n1', 'n7')) SELECT node, round(score, 9) AS score, CAST(k AS INT) AS rank, degree, degree >= q AS hub FROM b, q WHERE k <= 25""")
 def graph_hubs(spark: SparkSession, d: str) -> DataFrame:
     e = cut(graphs.undirected(_trade(spark, d), "a", "b", "w", 2))
     seeds = e.where("src in ('n1', 'n7')").select("src").distinct()
     return _round(graphs.hubs(e, cut(graphs.walk_with_restart(e, seeds)), seeds), "score", n=9)
 
 
-_TRADE = "t AS (SELECT 's' || l_suppkey AS a, 'n' || c_nationkey AS b, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
-
-
 @query("graph_degrees", f"WITH {_TRADE}, e AS (SELECT a AS src, b AS dst, w FROM t UNION ALL SELECT b, a, w FROM t), g AS (SELECT src, sum(w) s FROM e GROUP BY src) SELECT e.src, e.dst, round(w / sqrt(g.s * h.s), 9) AS w FROM e JOIN g ON e.src = g.src JOIN g h ON e.dst = h.src")
 def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
     """Edges weighed by the degrees of both ends."""

@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from siftline.operators import clusters, fusion, harmonize, linear, ranks, referee, resample, statistics, tables
 from siftline.session import beside, cut, table
+from siftline.plans.measures import _C
 from siftline.sources import cohort as co
 
 R = lambda c, n=4: F.round(c, n)
 QUERIES, SQL = {}, {}
 
 
-def query(f):
+def query(f, sql: str | None = None):
     QUERIES[f.__name__] = f
+    if sql:
+        SQL[f.__name__] = sql
     return f
 
 
+def with_sql(sql: str):
+    return lambda f: query(f, sql)
+
+
 def _outcome(spark: SparkSession, d: str) -> DataFrame:
     p = tables.point_head(co.contract(spark, d), "dx_binary")
     return cut(p.withColumn("male", F.when(F.col("sex") == "M", 1.0).when(F.col("sex") == "F", 0.0)))
@@ -208,7 +215,14 @@ def rank_learned(spark: SparkSession, d: str) -> DataFrame:
     return beside(ranks.rank_auc(o, [], "score", F.col("y")), statistics.calibration(o, "score", F.col("y")))
 
 
-@query
+_HELD_OUT = f"""WITH {_C}, v AS (SELECT (dx = 'AD')::INT AS y, {", ".join(f"CASE WHEN max({m}) OVER () = min({m}) OVER () THEN CASE WHEN {m} IS NOT NULL THEN 1.0 END ELSE ({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ()) END AS {m}" for m in ("p_tau217", "gfap", "nfl"))} FROM c WHERE dx IN ('AD', 'CN')),
+o AS (SELECT unnest(['none', 'p_tau217', 'gfap', 'nfl']) AS left_out), w AS (SELECT y, left_out, CASE WHEN left_out <> 'p_tau217' THEN p_tau217 END AS a, CASE WHEN left_out <> 'gfap' THEN gfap END AS b, CASE WHEN left_out <> 'nfl' THEN nfl END AS e FROM v, o),
+s AS (SELECT left_out, y, (coalesce(0.4 * a, 0) + coalesce(0.3 * b, 0) + coalesce(0.3 * e, 0)) / nullif((a IS NOT NULL)::INT * 0.4 + (b IS NOT NULL)::INT * 0.3 + (e IS NOT NULL)::INT * 0.3, 0) AS s FROM w),
+r AS (SELECT *, rank() OVER (PARTITION BY left_out ORDER BY s) + (count(*) OVER (PARTITION BY left_out, s) - 1) / 2 AS k FROM s WHERE s IS NOT NULL)
+SELECT left_out, round((sum(k * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 4) AS auc FROM r GROUP BY left_out"""
+
+
+@with_sql(_HELD_OUT)
 def rank_held_out_signals(spark: SparkSession, d: str) -> DataFrame:
     """The area of a composite with each signal left out in turn, and of all; one job over exploded variants."""
     from siftline.operators.graphs import composite

@@ -130,6 +130,73 @@ UNION ALL SELECT DISTINCT 'oasis_longitudinal', id, 'SES' FROM l JOIN h USING (s
 """
 
 
+def _group_sql(f: impute.Field, table: str, of: str, time: str) -> str:
+    """CTEs of one field: k (whole rows once), v (its valid values: g, t, v) and the totals that both models share."""
+    return f"""k AS (SELECT DISTINCT * FROM {table}), v AS (SELECT {of} AS g, CAST({time} AS DOUBLE) AS t, CAST({f.name} AS DOUBLE) AS v FROM k WHERE {f.name} BETWEEN {f.low} AND {f.high} AND {of} IS NOT NULL)"""
+
+
+def _number_sql(f: impute.Field, table: str, of: str, time: str) -> str:
+    """m(g, guess at time 0, slope): shrunk group effects and the pooled slope, from sums."""
+    return f"""{_group_sql(f, table, of, time)},
+s AS (SELECT g, count(*) n, sum(v) sv, sum(v * v) svv, count(t) nt, coalesce(sum(t), 0) st, coalesce(sum(t * t), 0) stt, coalesce(sum(v) FILTER (t IS NOT NULL), 0) sv1, coalesce(sum(v * t), 0) svt FROM v GROUP BY g),
+x AS (SELECT *, CASE WHEN nt > 0 THEN svt - st * sv1 / nt ELSE 0 END AS xy, CASE WHEN nt > 0 THEN stt - st * st / nt ELSE 0 END AS xx FROM s),
+o AS (SELECT sum(n) all_n, count(*) J, sum(sv) / sum(n) mu, coalesce(sum(st) / sum(nt), 0) mid, coalesce(sum(xy) / nullif(sum(xx), 0), 0) slope, sum(n * n) nn, sum(svv - sv * sv / n) within_, sum(xy) sxy FROM x),
+r AS (SELECT *, sv / n - mu - slope * coalesce(st / nullif(nt, 0) - mid, 0) AS rest FROM x, o), b AS (SELECT sum(n * rest * rest) - sum(n * rest) * sum(n * rest) / sum(n) AS between_ FROM r),
+e AS (SELECT *, greatest((within_ - slope * sxy) / greatest(all_n - J - 1, 1), 1e-9) AS e2, greatest((between_ / greatest(J - 1, 1) - greatest((within_ - slope * sxy) / greatest(all_n - J - 1, 1), 1e-9)) / greatest((all_n - nn / all_n) / greatest(J - 1, 1), 1), 0) AS u2 FROM r, b),
+m AS (SELECT g, mu + n * u2 / (n * u2 + e2) * rest AS base, slope, mid FROM e)"""
+
+
+def _category_sql(f: impute.Field, table: str, of: str, time: str) -> str:
+    """m(g, k, a, b, mid): the score a + b * time of each category."""
+    return f"""{_group_sql(f, table, of, time)},
+y AS (SELECT g, round(v) AS k, count(*) c, count(t) ct, sum(t) st, sum(t * t) stt FROM v GROUP BY ALL), z AS (SELECT k, sum(c) C, sum(ct) CT, sum(st) ST, sum(stt) STT FROM y GROUP BY k),
+o AS (SELECT sum(C) all_n, coalesce(sum(ST) / sum(CT), 0) mid, coalesce(sum(STT - coalesce(ST * ST / nullif(CT, 0), 0)) / nullif(sum(CT), 0), 0) s2, sum(C * C) / (sum(C) * sum(C)) AS chance FROM z),
+h AS (SELECT g, sum(c) n, sum(c * (c - 1)) same FROM y GROUP BY g), q AS (SELECT sum(same) / nullif(sum(n * (n - 1)), 0) AS agree FROM h),
+w AS (SELECT *, (1 - rho) / rho AS alpha FROM (SELECT *, least(greatest((coalesce(agree, chance) - chance) / greatest(1 - chance, 1e-9), 0.001), 0.999) AS rho FROM o, q)),
+m AS (SELECT h.g, z.k, ln((coalesce(y.c, 0) + alpha * z.C / all_n) / (n + alpha)) - CASE WHEN s2 > 0 THEN pow(coalesce(z.ST / nullif(z.CT, 0), 0), 2) / (2 * greatest(s2, 1e-9)) ELSE 0 END AS a, CASE WHEN s2 > 0 THEN coalesce(z.ST / nullif(z.CT, 0), 0) / greatest(s2, 1e-9) ELSE 0 END AS b, mid FROM h CROSS JOIN z CROSS JOIN w LEFT JOIN y ON y.g = h.g AND y.k = z.k)"""
+
+
+def _filled_sql(table: str, of: str, time: str, fields: list[impute.Field]) -> str:
+    """All rows of the table with each field filled where its group has a model."""
+    names = ", ".join(f.name for f in fields)
+    out = f"WITH t0 AS (SELECT *, row_number() OVER () AS _row, {of} AS _g, CAST({time} AS DOUBLE) AS _t FROM {table})"
+    for f in fields:
+        guess = f"least(greatest(round(base + slope * (coalesce(_t, mid) - mid), 6), {f.low}), {f.high})" if f.kind == "number" else "arg_max(k, struct_pack(s := a + b * coalesce(_t, mid), k := -k))"
+        model = (_number_sql if f.kind == "number" else _category_sql)(f, table, of, time)
+        out += f", g_{f.name} AS (WITH {model} SELECT _row, {guess} AS guess FROM t0 JOIN m ON m.g = t0._g {'GROUP BY _row' if f.kind == 'category' else ''})"
+    valid = lambda f: f"CASE WHEN {f.name} BETWEEN {f.low} AND {f.high} THEN CAST({f.name} AS DOUBLE) END"
+    cells = ", ".join(f"coalesce({valid(f)}, g_{f.name}.guess) AS {f.name}, {valid(f)} IS NULL AND g_{f.name}.guess IS NOT NULL AS {f.name}_filled" for f in fields)
+    joins = " ".join(f"LEFT JOIN g_{f.name} ON g_{f.name}._row = t0._row" for f in fields)
+    return f"{out} SELECT t0.* EXCLUDE ({names}, _row, _g, _t), {cells} FROM t0 {joins}"
+
+
+P3_CROSS = _filled_sql("oasis_cross_sectional", """CASE WHEN "M/F" IS NOT NULL AND Educ IS NOT NULL THEN "M/F" || '/' || Educ END""", "Age", [SES, MMSE])
+P3_LONG = _filled_sql("oasis_longitudinal", """nullif(regexp_extract("MRI ID", '^(OAS[12]_[0-9]+)', 1), '')""", "Visit", [SES])
+
+
+_DAY = """CASE WHEN regexp_full_match(s, '\\d{4}-\\d\\d-\\d\\d') THEN try_strptime(s, '%Y-%m-%d')::DATE WHEN regexp_matches(s, '^\\d{4}-\\d\\d-\\d\\d[t ]\\d\\d:\\d\\d') THEN TRY_CAST(upper(s) AS TIMESTAMP)::DATE WHEN regexp_full_match(s, '\\d{1,2}/\\d{1,2}/\\d{4}') THEN try_strptime(s, '%m/%d/%Y')::DATE
+ WHEN regexp_full_match(s, '\\d{1,2}[a-z]{3}\\d{4}') THEN try_strptime(s, '%d%b%Y')::DATE WHEN regexp_full_match(n, '(19|20)\\d{6}') THEN try_strptime(n, '%Y%m%d')::DATE WHEN regexp_full_match(n, '-?\\d{9,10}') THEN make_timestamp(n::BIGINT * 1000000)::DATE WHEN regexp_full_match(n, '-?\\d{12,13}') THEN make_timestamp(n::BIGINT * 1000)::DATE END"""
+_NUMBER = """coalesce(map_extract(MAP {'cn': 1.0, 'mci': 2.0, 'dementia': 3.0, 'ad': 3.0, 'bl': 0.0, 'true': 1.0, 'false': 0.0}, s)[1], CASE WHEN regexp_matches(s, '^m?-?\\d+(\\.\\d+)?(e[+-]?\\d+)?$') THEN TRY_CAST(regexp_replace(s, '^m', '') AS DOUBLE) END)"""
+P5_FOUND = f"""
+WITH l AS (SELECT feed, file_no, rec_no, arg_max(record, struct_pack(r := received_at, x := record)) AS record FROM dxsum_exports WHERE feed IS NOT NULL AND file_no IS NOT NULL GROUP BY ALL),
+k AS (SELECT feed, file_no, rec_no, record, unnest(json_keys(record)) AS field FROM l WHERE json_valid(record)), j AS (SELECT feed, file_no, rec_no, field, json_extract(record, '$."' || field || '"') AS j FROM k),
+t AS (SELECT feed, file_no, rec_no, field, CASE json_type(j) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'decimal' WHEN 'NULL' THEN NULL WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'integer' END AS kind, lower(trim(j ->> '$')) AS s FROM j),
+c AS (SELECT feed, file_no, rec_no, field, kind, CASE WHEN kind IS NOT NULL THEN coalesce('d' || {_DAY}, 'n' || {_NUMBER}, s) END AS v FROM (SELECT *, regexp_replace(s, '\\.0+$', '') AS n FROM t)),
+n AS (SELECT feed, file_no, field, kind, count(*) AS c FROM c GROUP BY ALL), f AS (SELECT feed, file_no, field, CASE WHEN count(kind) = 0 THEN NULL WHEN bool_and(kind IN ('integer', 'decimal')) AND bool_or(kind = 'decimal') THEN 'decimal' ELSE arg_max(kind, struct_pack(c := c, k := -ascii(kind))) END AS kind FROM n GROUP BY ALL),
+p AS (SELECT DISTINCT a.feed, a.file_no FROM f a JOIN f b ON a.feed = b.feed AND a.file_no = b.file_no + 1),
+g AS (SELECT p.feed, p.file_no, a.field, a.kind FROM p JOIN f a ON a.feed = p.feed AND a.file_no = p.file_no - 1 WHERE NOT EXISTS (FROM f b WHERE b.feed = p.feed AND b.file_no = p.file_no AND b.field = a.field)),
+m AS (SELECT p.feed, p.file_no, a.field, a.kind FROM p JOIN f a ON a.feed = p.feed AND a.file_no = p.file_no WHERE NOT EXISTS (FROM f b WHERE b.feed = p.feed AND b.file_no = p.file_no - 1 AND b.field = a.field)),
+h AS (SELECT g.feed, g.file_no, g.field AS prior_field, m.field, any_value(g.kind) AS k0, any_value(m.kind) AS k1, count(*) AS n FROM g JOIN m USING (feed, file_no) JOIN c x ON x.feed = g.feed AND x.file_no = g.file_no - 1 AND x.field = g.field JOIN c y ON y.feed = g.feed AND y.file_no = g.file_no AND y.field = m.field AND y.rec_no = x.rec_no WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY ALL HAVING bool_and(x.v = y.v)),
+r AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY feed, file_no, prior_field ORDER BY n DESC, jaro_similarity(lower(prior_field), lower(field)) DESC) = 1 AND row_number() OVER (PARTITION BY feed, file_no, field ORDER BY n DESC, jaro_similarity(lower(prior_field), lower(field)) DESC) = 1),
+s AS (SELECT m.feed, m.file_no, a.field, a.kind AS k0, b.kind AS k1 FROM p m JOIN f a ON a.feed = m.feed AND a.file_no = m.file_no - 1 JOIN f b ON b.feed = m.feed AND b.file_no = m.file_no AND b.field = a.field)
+SELECT feed, file_no, 'renamed' AS change, field, prior_field FROM r
+UNION ALL SELECT feed, file_no, 'removed', field, field FROM g WHERE NOT EXISTS (FROM r WHERE r.feed = g.feed AND r.file_no = g.file_no AND r.prior_field = g.field)
+UNION ALL SELECT feed, file_no, 'added', field, field FROM m WHERE NOT EXISTS (FROM r WHERE r.feed = m.feed AND r.file_no = m.file_no AND r.field = m.field)
+UNION ALL SELECT feed, file_no, 'retyped', field, field FROM s WHERE k0 <> k1
+UNION ALL SELECT feed, file_no, 'retyped', field, prior_field FROM r WHERE k0 <> k1
+"""
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.changes(table(spark, d, "dxsum_exports"))
 
@@ -139,4 +206,4 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_history": p2_history, "p2_attributes": p2_attributes, "p3_found": p3_found, "p3_cross_sectional": p3_cross_sectional, "p3_longitudinal": p3_longitudinal, "p5_found": p5_found, "p5_unified": p5_unified}
-SQL = {"p2_found": P2_FOUND, "p2_history": P2_HISTORY, "p2_attributes": P2_ATTRIBUTES, "p3_found": P3_FOUND}
+SQL = {"p2_found": P2_FOUND, "p2_history": P2_HISTORY, "p2_attributes": P2_ATTRIBUTES, "p3_found": P3_FOUND, "p3_cross_sectional": P3_CROSS, "p3_longitudinal": P3_LONG, "p5_found": P5_FOUND}
