@@ -10,8 +10,8 @@ still undecided, so that only small ones are left to land.
 
 Spark runs the flight in blocks of at most about BLOCK records of a source, spread by hash; two undecided
 records may remain of a block, and further rounds fly what remains of all blocks, as many as it takes until each
-source has one block. Then at most two records a source land: of the ways to take or leave them the one nearest in
-tokens to what is due.
+source has one block. In that one at most two records remain to land: of the ways to take or leave them the one
+nearest in tokens to what is due, then one or two changes among the block's records if they bring it nearer yet.
 
 Defined cases: a source without records, or without tokens, is left out and the others' weights are scaled to
 sum to 1 (its reached share is 0); records of a source that isn't a target, or of a null source, aren't
@@ -80,18 +80,37 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(p=flight(pdf["tokens"].to_numpy(), pdf["p"].to_numpy(), np.random.default_rng(seed)))
 
 
-def _land(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A last flight; of the ways to take or leave the at most two records that remain, the one nearest in tokens to what is due."""
-    pdf = _fly(pdf)
-    x, p = pdf["tokens"].to_numpy(float), pdf["p"].to_numpy(float)
-    left = np.flatnonzero((p > 0) & (p < 1))
-    due = float((x * p).sum())
-    ways = []
+def land(tokens: np.ndarray, p: np.ndarray, due: float) -> np.ndarray:
+    """0 or 1 for each record: of the ways to take or leave the at most two undecided ones the nearest in tokens to what is due, then the one or two changes among all records that bring it nearest yet, if any does."""
+    x, left, ways = tokens.astype(float), np.flatnonzero((p > 0) & (p < 1)), []
     for m in range(1 << len(left)):
         way = p.copy()
         way[left] = [m >> i & 1 for i in range(len(left))]
         ways.append(way)
-    return pdf.assign(p=min(ways, key=lambda w: abs(float((w * x).sum()) - due)))
+    w = min(ways, key=lambda w: abs(float((w * x).sum()) - due))
+    off = float((w * x).sum()) - due
+    change = (1 - 2 * w) * x
+    order = np.argsort(change, kind="stable")
+    ranked = change[order]
+    best, flips = abs(off) - 1e-9, ()
+    if len(x) and abs(off + change).min() < best:
+        best, flips = abs(off + change).min(), (int(abs(off + change).argmin()),)
+    for near in (0, 1):  # the partner of each record whose change comes nearest to what remains
+        j = np.clip(np.searchsorted(ranked, -(off + change)) - near, 0, len(x) - 1)
+        gap = np.where(order[j] != np.arange(len(x)), abs(off + change + ranked[j]), np.inf)
+        if len(x) and gap.min() < best:
+            i = int(gap.argmin())
+            best, flips = gap[i], (i, int(order[j[i]]))
+    for i in flips:
+        w[i] = 1 - w[i]
+    return w
+
+
+def _land(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The flight of a source's last block, and the landing."""
+    due = float((pdf["p"] * pdf["tokens"]).sum())
+    pdf = _fly(pdf)
+    return pdf.assign(p=land(pdf["tokens"].to_numpy(), pdf["p"].to_numpy(float), due))
 
 
 def rates(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
@@ -117,15 +136,14 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, block:
     schema = "id bigint, source string, tokens bigint, whole int, p double, records bigint, round int"
     done, rest, n, k = [s.where("p = 0").drop("records")], s.where("p > 0"), F.col("records"), 0
     most = r.agg(F.max("records")).first()[0] or 0
-    while most > 0:
+    while most > block:
         blocks = F.greatest(F.ceil(n / block), F.lit(1))
-        rest = rest.withColumn("round", F.pmod(F.xxhash64("id", F.lit(k)), blocks).cast("int"))
-        flown = cut(rest.groupBy("source", "round").applyInPandas(_fly, schema))
+        # a source with one block waits for its landing
+        rest = rest.withColumn("round", F.when(blocks > 1, F.pmod(F.xxhash64("id", F.lit(k)), blocks)).cast("int"))
+        flown = cut(rest.where("round is not null").groupBy("source", "round").applyInPandas(_fly, schema))
         done.append(flown.where("p in (0, 1)").drop("records", "round"))
-        rest, n, k = flown.where("p not in (0, 1)").drop("round"), 2 * blocks, k + 1
-        if most <= block:
-            break
-        most = 2 * -(-most // block)
+        rest = rest.where("round is null").unionByName(flown.where("p not in (0, 1)")).drop("round")
+        n, k, most = F.when(n > block, 2 * blocks).otherwise(n), k + 1, 2 * -(-most // block)
     landed = rest.withColumn("round", F.lit(0)).groupBy("source").applyInPandas(_land, schema)
     done.append(landed.drop("records", "round"))
     out = done[0]

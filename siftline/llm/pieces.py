@@ -94,7 +94,7 @@ def cut_batch(automaton: TokenAutomaton, batch: list[str], size: int, overlap: i
     out: list[list[dict]] = [[] for _ in batch]
     nexts, firsts, bases, docs, base = [], [], [], [], 0
     for i, text in enumerate(batch):
-        ids = np.array(automaton.encode(text), np.int64)
+        ids = automaton.ids(text)
         if len(ids) <= size:
             out[i] = [{"piece": 0, "first": 0, "tokens": len(ids), "boundary": "end", "piece_text": text}]
             continue

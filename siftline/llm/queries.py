@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.llm import mixture, nearest, pieces, splits, tokenizer
@@ -84,6 +84,34 @@ SELECT DISTINCT p.subject AS subject_a, q.subject AS subject_b FROM s p JOIN j O
 """
 
 
+def p4_components(spark: SparkSession, d: str) -> DataFrame:
+    """How many components of each size a cohort has, and in how many splits the rows of one lie at most."""
+    c = p4_splits(spark, d).groupBy("cohort", "component").agg(F.count("*").alias("rows"), F.count_distinct("split").alias("splits"))
+    return c.groupBy("cohort", "rows").agg(F.count("*").alias("components"), F.max("splits").alias("splits"))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """cohort, split, share, total rows, and whether the split's rows are within one row, or within the largest component if that is due to it, of what is due."""
+    s = cut(p4_splits(spark, d))
+    whole = s.groupBy("cohort", "component").agg(F.count("*").alias("n")).groupBy("cohort").agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
+    got = s.groupBy("cohort", "split").agg(F.count("*").alias("rows"))
+    r = whole.crossJoin(F.broadcast(table(spark, d, "split_targets"))).join(got, ["cohort", "split"], "left")  # a few cohorts by a few splits
+    return r.select("cohort", "split", "share", "total", (F.abs(F.coalesce("rows", F.lit(0)) - F.col("share") * F.col("total")) <= F.greatest(F.lit(1), F.col("largest") / 2)).alias("near"))
+
+
+P4_COMPONENTS = f"""
+WITH RECURSIVE o AS (SELECT coalesce({_KEY.format('"Subject ID"')}, {_KEY.format('"MRI ID"')}) AS k FROM oasis_longitudinal),
+x AS (SELECT DISTINCT {_KEY.format('subject_a')} AS a, {_KEY.format('subject_b')} AS b FROM subject_xref WHERE subject_a IS NOT NULL AND subject_b IS NOT NULL),
+e AS (SELECT a, b FROM x UNION SELECT b, a FROM x), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a), oc AS (SELECT coalesce(m.c, o.k) AS c, count(*) AS rows FROM o LEFT JOIN m ON m.a = o.k GROUP BY 1),
+t AS (SELECT coalesce('subject:' || subject_id, 'row:' || hash(adni_contract::VARCHAR)) AS s, 'site:' || site AS site FROM adni_contract), h AS (SELECT s, min(site) AS home FROM t GROUP BY s),
+f AS (SELECT DISTINCT home AS a, site AS b FROM t JOIN h USING (s) WHERE site IS NOT NULL), g AS (SELECT a, b FROM f UNION SELECT b, a FROM f), q(a, b) AS (SELECT a, b FROM g UNION SELECT q.a, g.b FROM q JOIN g ON q.b = g.a),
+n AS (SELECT a, least(a, min(b)) AS c FROM q GROUP BY a), ac AS (SELECT coalesce(n.c, t.site, h.home, t.s) AS c, count(*) AS rows FROM t JOIN h USING (s) LEFT JOIN n ON n.a = coalesce(t.site, h.home) GROUP BY 1)
+SELECT 'oasis' AS cohort, rows, count(*) AS components, 1::BIGINT AS splits FROM oc GROUP BY rows UNION ALL SELECT 'adni', rows, count(*), 1 FROM ac GROUP BY rows
+"""
+P4_SHARES = "SELECT cohort, split, share, total, true AS near FROM (SELECT 'oasis' AS cohort, count(*) AS total FROM oasis_longitudinal UNION ALL SELECT 'adni', count(*) FROM adni_contract), split_targets"
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", tokenizer.encode(F.col("text"), tokenizer.vocabulary(spark)).alias("ids"))
@@ -115,9 +143,36 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.cut_texts(docs, "text", tokenizer.vocabulary(spark)).select("doc_id", "piece", "first", "tokens", "boundary", "piece_text")
 
 
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each text comes back, byte for byte, from its ids; a null text from none."""
+    return p6_decoded(spark, d).select("doc_id", "same")
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """A row a target: whether no document is used too often, and whether its tokens are within 0.1 % of what is due, or within half of its smallest document."""
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    least = sizes.where("tokens > 0").groupBy("source").agg(F.min("tokens").alias("least"))
+    r = mixture.reached(sizes, targets, mixture.mix(sizes, targets)).join(least, "source", "left")
+    return r.select("source", "weight", "max_repeats", (F.col("most_repeats") <= F.col("max_repeats")).alias("capped"), (F.abs(F.col("mixed") - F.col("due")) <= F.greatest(F.col("due") / 1000, F.coalesce("least", F.lit(0)) / 2 + 1)).alias("near"))
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """A row a document with text: whether no piece is over 512 tokens, consecutive ones share 64 tokens or the few more that complete a character, and each begins where the shared tokens do, up to the end of the text."""
+    w = Window.partitionBy("doc_id").orderBy("piece")  # the pieces of one text
+    p = p8_pieces(spark, d).withColumn("shared", F.lag(F.col("first") + F.col("tokens")).over(w) - F.col("first"))
+    # F.lag is null for a first piece, which begins at 0
+    ok = F.when(F.col("piece") == 0, F.col("first") == 0).otherwise(F.col("shared").between(64, 67))
+    return p.groupBy("doc_id").agg((F.max("tokens") <= 512).alias("small"), F.min(ok).alias("overlapping"), (F.max_by("boundary", "piece") == "end").alias("whole"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_pieces(spark, d).where("piece = 1").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_splits": p4_splits, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces}
-SQL = {"p1_found": P1_FOUND, "p1_pairs": P1_PAIRS, "p4_found": P4_FOUND}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p4_splits": p4_splits, "p4_components": p4_components, "p4_shares": p4_shares, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p6_roundtrip": p6_roundtrip, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks, "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_checks": p8_checks}
+SQL = {"p1_found": P1_FOUND, "p1_pairs": P1_PAIRS, "p4_found": P4_FOUND, "p4_components": P4_COMPONENTS, "p4_shares": P4_SHARES}
+SQL |= {
+    "p6_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "p7_checks": "SELECT source, weight, max_repeats, true AS capped, true AS near FROM mix_targets",
+    "p8_checks": "SELECT doc_id, true AS small, true AS overlapping, true AS whole FROM documents WHERE text IS NOT NULL",
+}

@@ -34,11 +34,17 @@ from pyspark.sql import functions as F
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pre-split pattern of this public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same over texts of ASCII characters only, which the plain engine reads faster.
-ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 MOST_WORDS, MOST_STATES = 200_000, 300_000
 
 
+def plain_pattern() -> str:
+    """PATTERN for Python's own engine, which is faster but knows no \\p: its classes written out for the characters up to U+FFFF, from a rule."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    runs = lambda kind: "".join(f"\\u{ord(m.group()[0]):04x}-\\u{ord(m.group()[-1]):04x}" for m in regex.finditer(f"{kind}+", every))
+    letter, number, blank = runs(r"\p{L}"), runs(r"\p{N}"), runs(r"\s")
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{blank}{letter}{number}]+|[{blank}]+(?![^{blank}])|[{blank}]+"
+
+
 def printable() -> dict[str, int]:
     """The byte each character of a byte-level vocabulary stands for: visible Latin-1 characters are themselves, the other bytes follow from U+0100."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -83,7 +89,7 @@ class TokenAutomaton:
         self.size_of = {i: len(self.labels[i]) for i in merged}
         self.reset()
         self.words = _Words(self)
-        self.any_split, self.ascii_split = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.any_split, self.plain_split = regex.compile(PATTERN).findall, re.compile(plain_pattern()).findall
         self.bytes_of = np.zeros(size, np.int32)
         for i, label in self.labels.items():
             self.bytes_of[i] = len(label)
@@ -153,25 +159,28 @@ class TokenAutomaton:
         return tuple(path[::-1])
 
     def split(self, text: str) -> list[str]:
-        return self.ascii_split(text) if text.isascii() else self.any_split(text)
+        plain = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)  # no character over U+FFFF
+        return (self.plain_split if plain else self.any_split)(text)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), np.int32)
 
     def encode(self, text: str) -> list[int]:
-        words = self.words
-        return [t for w in self.split(text) for t in words[w]]
+        return self.ids(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.labels[i] for i in ids).decode("utf-8", "replace")
 
 
 class _Words(dict):
-    """Paths by word, filled on demand; emptied when it reaches MOST_WORDS, words over 200 bytes aren't kept."""
+    """Paths by word, as the bytes of their int32 ids, which join fast; filled on demand, emptied when there are MOST_WORDS, words over 200 bytes aren't kept."""
 
     def __init__(self, automaton: TokenAutomaton):
         self.automaton = automaton
 
-    def __missing__(self, w: str) -> tuple[int, ...]:
+    def __missing__(self, w: str) -> bytes:
         b = w.encode("utf-8", "replace")
-        path = self.automaton.word(b)
+        path = np.array(self.automaton.word(b), np.int32).tobytes()
         if len(b) <= 200:
             if len(self) >= MOST_WORDS:
                 self.clear()
@@ -206,7 +215,7 @@ def encode(text: Column, vocab) -> Column:
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
         a = compiled(vocab.value)
-        rows = [np.array(a.encode(t), np.int32) for t in texts(column)]
+        rows = [a.ids(t) for t in texts(column)]
         return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)], dtype=np.int32), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
 
     return ids(text.cast("binary"))
@@ -218,8 +227,7 @@ def count_tokens(text: Column, vocab) -> Column:
     @F.arrow_udf("bigint")
     def n(column: pa.Array) -> pa.Array:
         a = compiled(vocab.value)
-        words = a.words
-        return pa.array([sum(len(words[w]) for w in a.split(t)) for t in texts(column)], pa.int64())
+        return pa.array([len(a.ids(t)) for t in texts(column)], pa.int64())
 
     return n(text.cast("binary"))
 

@@ -110,3 +110,11 @@ def test_cut_texts(spark):
     assert sorted({r["doc_id"] for r in got}) == [1, 3] and sum(r["doc_id"] == 1 for r in got) > 2
     with pytest.raises(ValueError):
         pieces.cut_texts(df.withColumn("tokens", F.lit(1)), "text", tokenizer.vocabulary(spark))
+
+
+def test_split_of_every_character(automaton):
+    """Python's own engine with written-out classes splits as the pattern does, around each character."""
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for k in range(0, len(every), 4096):
+        text = "".join(f"a{c}1 {c}{c}b {c}" for c in every[k : k + 4096])
+        assert automaton.split(text) == automaton.any_split(text)
