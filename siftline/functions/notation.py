@@ -53,3 +53,15 @@ def visit_code(v: Column) -> Column:
     """Visit codes as text: 6, 6.0 and m06 are m06; anything else stays."""
     n = F.regexp_replace(F.trim(v), r"\.0+$", "")
     return F.when(n.rlike(r"^\d+$"), F.concat(F.lit("m"), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n))).otherwise(F.trim(v))
+
+
+def month(v: Column) -> Column:
+    """The first day of the month of a text MM/yyyy or M/yyyy, else null."""
+    s = F.trim(v)
+    return F.when(s.rlike(r"^\d{1,2}/\d{4}$"), F.try_to_timestamp(F.concat(F.lit("1/"), s), F.lit("d/M/yyyy")).cast("date"))
+
+
+def years(start: Column, end: Column) -> Column:
+    """Years between two dates: days by 365.25; null if either is, or if the end lies before the start."""
+    days = F.date_diff(end, start)
+    return F.when(days >= 0, days / 365.25)

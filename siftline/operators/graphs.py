@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.operators.ranks import benjamini_hochberg
+from siftline.operators.ranks import benjamini_hochberg, serial
 from siftline.operators.statistics import log_factorial
 from siftline.session import beside, cut
 
@@ -97,9 +97,12 @@ def over_representation(sets: DataFrame, query: DataFrame) -> DataFrame:
     k = s.join(q, "item", "left_semi").groupBy("set_id").agg(F.count("*").alias("overlap"))
     u = s.select("item").union(q).distinct().agg(F.count("*").alias("universe"))
     x = beside(beside(n.join(k, "set_id"), u), q.agg(F.count("*").alias("drawn")))
-    # the tail's terms: one row each, at most min(size, drawn) a set
-    most = F.least("size", "drawn")
-    t = x.withColumn("i", F.explode(F.sequence("overlap", most))).where("drawn - i <= universe - size")
+    # the tail's terms, one row each: those within 40 deviations of the mean, as all others are 0 in double precision
+    share = F.col("size") / F.col("universe")
+    wide = 40 * F.sqrt(F.col("drawn") * share * (1 - share)) + 40
+    low = F.greatest(F.col("overlap"), F.floor(F.col("drawn") * share - wide))
+    high = F.least("size", "drawn", F.ceil(F.greatest(F.col("overlap"), F.col("drawn") * share) + wide))
+    t = x.withColumn("i", F.explode(F.sequence(low, F.greatest(low, high)))).where("drawn - i <= universe - size and i <= least(size, drawn)")
     t = t.groupBy("set_id", "size", "overlap", "universe", "drawn").agg(F.sum(F.exp(_log_choose(F.col("size"), F.col("i")) + _log_choose(F.col("universe") - F.col("size"), F.col("drawn") - F.col("i")) - _log_choose(F.col("universe"), F.col("drawn")))).alias("p"))
     a, b, c = F.col("overlap"), F.col("size") - F.col("overlap"), F.col("drawn") - F.col("overlap")
     d = F.col("universe") - F.col("size") - c
@@ -134,3 +137,18 @@ def membership(df: DataFrame, col: str, word: str) -> Column:
     """Whether a ";" list holds a word, compared without case or blanks."""
     return F.array_contains(F.transform(F.split(F.lower(col), ";"), lambda x: F.trim(x)), word.lower())
 
+
+def related(df: DataFrame, main: str, others: str, word: str) -> DataFrame:
+    """The rows that name the word as their main or one of their other items (";" list), or, where no row does, all rows; ``matched`` tells which."""
+    r = df.withColumn("_hit", F.coalesce(F.lower(F.trim(main)) == word.lower(), F.lit(False)) | F.coalesce(membership(df, others, word), F.lit(False)))
+    return beside(r, r.agg(F.coalesce(F.max("_hit"), F.lit(False)).alias("matched"))).where(F.col("_hit") | ~F.col("matched")).drop("_hit")
+
+
+def ranked_universe(df: DataFrame, item: str, score: str, gold: DataFrame, top: int) -> DataFrame:
+    """item, place: the first ``top`` items by score, then the gold items that aren't among them, by name; each once, in this order. A list of the caller's size."""
+    first = df.select(item, score).where(F.col(score).isNotNull()).orderBy(F.col(score).desc(), item).limit(top)
+    first = first.withColumn("place", F.row_number().over(Window.orderBy(F.col(score).desc(), item)))
+    rest = gold.select(F.col(gold.columns[0]).alias(item)).where(F.col(item).isNotNull()).distinct().join(first, item, "left_anti")
+    rest = serial(rest, item, "place").select(item, (F.col("place") + top).alias("place"))
+    return first.select(item, F.col("place").cast("bigint")).unionByName(rest.select(item, F.col("place").cast("bigint")))
+

@@ -167,6 +167,25 @@ def bootstrap_auc(df: DataFrame, id_: str, score: str, label: Column, n: int = D
     return out.withColumn("rep", F.col("rep") - 1) if observed else out
 
 
+def bootstrap_difference(df: DataFrame, id_: str, flag: Column, value: str, n: int = DRAWS) -> DataFrame:
+    """rep, difference: mean of the flagged less mean of the other rows, by Poisson bootstrap; sums by task, nothing is ordered."""
+    poisson = _poisson(n)
+    r = df.select(code(F.col(id_).cast("string")).alias("_x"), number(value).alias("_v"), flag.cast("int").alias("_f")).where(F.col(id_).isNotNull() & F.col("_v").isNotNull() & F.col("_f").isNotNull())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = np.zeros((4, n))
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK):
+                b = batch.iloc[at : at + CHUNK]
+                w, f, v = poisson(b).astype(float), b["_f"].to_numpy(float), b["_v"].to_numpy(float)
+                s += np.stack([f @ w, (f * v) @ w, (1 - f) @ w, ((1 - f) * v) @ w])
+        yield pd.DataFrame({c: [x] for c, x in zip("abcd", s, strict=True)})
+
+    s = r.mapInPandas(run, "a array<double>, b array<double>, c array<double>, d array<double>").select(F.posexplode(F.arrays_zip("a", "b", "c", "d")).alias("rep", "z"))
+    s = s.groupBy("rep").agg(*(F.sum(f"z.{c}").alias(c) for c in "abcd"))
+    return s.select("rep", (F.try_divide("b", "a") - F.try_divide("d", "c")).alias("difference"))
+
+
 def interval(reps: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """keys, reps, lo, hi: exact percentiles 2.5 and 97.5 over the replicates that have a value."""
     return reps.where(F.col(value).isNotNull()).groupBy(*(keys or [])).agg(F.count("*").alias("reps"), F.percentile(value, 0.025).alias("lo"), F.percentile(value, 0.975).alias("hi"))
@@ -195,16 +214,17 @@ def _placed(df: DataFrame, tag: str, chosen: Column) -> DataFrame:
     return r.join(k, "_g").withColumns({"_gx": code(F.col("_g").cast("string")), "_gn": F.col("hash_rows"), "_i": F.col("hash_rank") - 1})
 
 
-def permuted_auc(df: DataFrame, id_: str, score: str, label: Column, group: str | None, n: int = DRAWS) -> DataFrame:
-    """rep, auc: labels shuffled within groups (all rows are one group without), keeping each group's number of positives."""
-    v = df.select(F.col(id_).alias("_id"), number(score).alias("_s"), label.cast("int").alias("_y"), (F.coalesce(F.col(group).cast("string"), F.lit("__na__")) if group else F.lit("")).alias("_g")).where("_id is not null and _s is not null and _y is not null")
+def permuted_auc(df: DataFrame, id_: str, score: str, label: Column, group: str | None, n: int = DRAWS, keys: list[str] | None = None) -> DataFrame:
+    """keys, rep, auc: labels shuffled within groups (all rows are one group without), keeping each group's number of positives. With keys a group must not lie in several."""
+    keys = keys or []
+    v = df.select(*keys, F.col(id_).alias("_id"), number(score).alias("_s"), label.cast("int").alias("_y"), (F.coalesce(F.col(group).cast("string"), F.lit("__na__")) if group else F.lit("")).alias("_g")).where("_id is not null and _s is not null and _y is not null")
     members = _members("p", n)
 
     def draw(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         y = members(b)
         return y, 1 - y
 
-    return _areas(_placed(v, "p", F.col("_y") == 1), [], n, draw, ["_gx", "_gn", "_gk", "_i"]).select("rep", "auc")
+    return _areas(_placed(v, "p", F.col("_y") == 1), keys, n, draw, ["_gx", "_gn", "_gk", "_i"]).select(*keys, "rep", "auc")
 
 
 def permuted_macro(df: DataFrame, n: int = DRAWS) -> DataFrame:

@@ -55,6 +55,13 @@ def cohens_d(df: DataFrame, flag: Column, value: str, keys: list[str] | None = N
     return a.select(*keys, "n1", "n0", diff.alias("difference"), d.alias("d"), (d - Z95 * se).alias("lo"), (d + Z95 * se).alias("hi"), F.when(F.col("sd") > 0, diff / F.col("sd")).alias("smd"))
 
 
+def point_biserial(df: DataFrame, flag: Column, value: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, n, difference (mean of the flagged less the others'), r (correlation of flag and value)."""
+    keys = keys or []
+    v = df.select(*keys, flag.cast("double").alias("_f"), number(value).alias("_v")).where("_f is not null and _v is not null")
+    return v.groupBy(*keys).agg(F.count("*").alias("n"), (F.avg(F.when(F.col("_f") == 1, F.col("_v"))) - F.avg(F.when(F.col("_f") == 0, F.col("_v")))).alias("difference"), correlation("_f", "_v").alias("r"))
+
+
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, v: association of two categories, without continuity correction."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("o"))

@@ -7,6 +7,7 @@ of repeated rows each is kept; empty tables give empty results; columns that are
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -116,3 +117,49 @@ def paired_mean(df: DataFrame, left: str, right: str) -> DataFrame:
         both = F.filter(F.array(number(b + left), number(b + right)), F.isnotnull)
         df = df.withColumn(b, F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.size(both)))
     return df
+
+
+def left_chain(base: DataFrame, key: str, feeders: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """(base with the columns of each feeder joined by key, why feeders were left out).
+
+    A feeder gives a table with one row a key (of several the one of smallest values counts). One that fails, when its
+    plan is made or when its first row is read, is left out with its error; its name's columns don't appear.
+    """
+    out, failed = base, {}
+    for name, feeder in feeders.items():
+        try:
+            f = feeder()
+            cols = [c for c in f.columns if c != key]
+            f = f.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*(f"`{c}`" for c in cols))).alias("_x")).select(key, *(F.col(f"_x.`{c}`").alias(f"{name}_{c}") for c in cols))
+            f.limit(1).collect()
+        except Exception as e:  # noqa: BLE001 - any failing feeder is left out
+            failed[name] = f"{type(e).__name__}: {e}"[:200]
+            continue
+        out = out.join(f, key, "left")
+    return out, failed
+
+
+def rois(df: DataFrame, prefix: str = "roi_") -> tuple[DataFrame, dict[str, list[int]]]:
+    """(df with ``emb``, its columns with the prefix in the order of their names, as numbers; the places in it of each region).
+
+    A region is a column's name without prefix and side, and "left" and "right" are all columns of a side.
+    """
+    cols = sorted(c for c in df.columns if c.startswith(prefix))
+    places: dict[str, list[int]] = {}
+    for i, c in enumerate(cols):
+        side = re.search(r"(?:^|_)(left|right|lh|rh)(?:_|$)", c.removeprefix(prefix))
+        region = re.sub(r"(?:^|_)(left|right|lh|rh)(?=_|$)", "", c.removeprefix(prefix)).strip("_")
+        for k in [region, *([{"lh": "left", "rh": "right"}.get(side[1], side[1])] if side else [])]:
+            places.setdefault(k, []).append(i)
+    return df.withColumn("emb", F.array(*(number(c) for c in cols))), places
+
+
+def amyloid(suvr: Column, csf: Column) -> Column:
+    """1 or 0 by the tracer's uptake (1.11 or more), where that is missing by the protein in the fluid (under 980), else null."""
+    return F.when(number(suvr).isNotNull(), (number(suvr) >= 1.11).cast("int")).when(number(csf).isNotNull(), (number(csf) < 980).cast("int"))
+
+
+def left_to_do(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The grid's distinct combinations without a result yet; null keys compare equal."""
+    d = done.select(*(F.col(k).alias(f"_k{k}") for k in keys)).distinct()
+    return grid.select(*keys).distinct().join(d, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys)), "left_anti")

@@ -1,26 +1,57 @@
-"""Small helpers around the session: tables, checkpoints, spreading of work."""
+"""Small helpers around the session: tables, checkpoints, scratch folders, spreading of work, shipping of the package."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, for those that haven't installed it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "siftline"), "zip", root, "siftline"))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that the session names in spark.checkpoint.dir.
+def shared(spark: SparkSession) -> str:
+    """The session's checkpoint folder: the one named in spark.checkpoint.dir, which all machines share.
 
-    Only where that is unset, as in tests, a new temporary folder is used.
+    Where that is unset, a local session gets a new temporary folder; on a cluster it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name within the shared folder, for files that are written and read again."""
+    return f"{shared(spark)}/files-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder.
+
+    Spark removes checkpoints that are no longer used if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

@@ -34,9 +34,9 @@ def strings(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return csv(spark, path, sep=sep).na.fill("")
 
 
-def strict(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
+def strict(spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = True) -> DataFrame:
     """Delimited text whose short or unreadable rows are dropped."""
-    return spark.read.option("header", True).option("sep", sep).option("mode", "DROPMALFORMED").schema(schema).csv(path)
+    return spark.read.option("header", header).option("sep", sep).option("mode", "DROPMALFORMED").schema(schema).csv(path)
 
 
 def edges(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +69,12 @@ def html_table(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
 
 def segment_stats(spark: SparkSession, path: str) -> DataFrame:
     """file, icv, brain, hippocampus, ventricles: "# Measure" headers and sums of both hemispheres of the table of a segmentation's statistics."""
-    t = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("l"))
+    return segment_lines(spark.read.text(path).select(F.input_file_name().alias("file"), "value"))
+
+
+def segment_lines(lines: DataFrame) -> DataFrame:
+    """The same from the lines (file, value) of any number of files."""
+    t = lines.select("file", F.trim("value").alias("l"))
     m = F.when(F.col("l").startswith("# Measure"), F.split("l", r",\s*"))
     f = F.when(~F.col("l").startswith("#"), F.split("l", r"\s+"))
     t = t.select("file", F.regexp_replace(F.get(m, 0), r"^# Measure\s+", "").alias("measure"), F.get(m, 3).try_cast("double").alias("amount"), F.get(f, 4).alias("part"), F.get(f, 3).try_cast("double").alias("volume"))
