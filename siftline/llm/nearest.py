@@ -14,8 +14,8 @@ batch move together; memory holds the leaves of one partition, queries stream.
 Defined cases: rows with a null key, time or id on either side have no partner; of equal distances the earlier
 time counts, of equal times the smallest id; a distance of exactly the tolerance is within; equal times match
 at distance 0; repeated left rows each get their partner; empty tables give an empty result. Only the named
-columns are read, so extra columns and clashing names do no harm. Keys that aren't whole numbers are compared
-by their 64-bit hash.
+columns are read, so extra columns and clashing names do no harm. Ids must be whole numbers, others are refused;
+keys of other types are compared as texts by two hashes, 108 bits together.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from siftline.functions.notation import micros
 from siftline.operators.keyblocks import hot_splits, with_block
 
+BLOCK_BITS = 20  # blocks of a key are numbered from 0 to under 2^20, as keyblocks makes fewer
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -168,19 +169,27 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, time: str, left_id
 
     stats: tables with key and time to find very frequent keys in, if cheaper to read than left and right.
     """
-    whole = dict(left.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") and dict(right.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    k = F.col(key).cast("long") if whole else F.xxhash64(F.col(key).cast("string"))
-    slim = lambda d, i: d.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(k.alias("k"), micros(d, time).alias("t"), (F.col(i).cast("long") if i else F.lit(0)).alias("id")).where("id is not null")
+    whole_kinds = ("tinyint", "smallint", "int", "bigint")
+    for d, c in ((left, left_id), (right, right_id)):
+        if dict(d.dtypes)[c] not in whole_kinds:
+            raise ValueError(f"{c} must be a whole number")
+    whole = dict(left.dtypes)[key] in whole_kinds and dict(right.dtypes)[key] in whole_kinds
+    text = F.col(key).cast("string")
+    # a key is one number, or two hashes, of which the second shares its place with the block's number
+    ks = {"k": F.col(key).cast("long")} if whole else {"k": F.xxhash64(text), "k2": F.xxhash64(F.lit("2"), text).bitwiseAND(F.lit(-(1 << BLOCK_BITS)))}
+    keys = list(ks)
+    slim = lambda d, i: d.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(*(c.alias(n) for n, c in ks.items()), micros(d, time).alias("t"), (F.col(i).cast("long") if i else F.lit(0)).alias("id")).where("id is not null")
     a, b = slim(left, left_id), slim(right, right_id)
-    s = hot_splits((slim(stats[0], None).union(slim(stats[1], None)) if stats else a.union(b)).select("k", "t"), ["k"], F.col("t"))
-    a = with_block(a, s, ["k"], F.col("t"))
-    b = with_block(b, s, ["k"], F.col("t"))
+    s = hot_splits((slim(stats[0], None).union(slim(stats[1], None)) if stats else a.union(b)).select(*keys, "t"), keys, F.col("t"))
+    a = with_block(a, s, keys, F.col("t"))
+    b = with_block(b, s, keys, F.col("t"))
     # the leaves just outside each block of a large key: at most 2 x MOST_BLOCKS blocks, two leaves each
-    ends = b.where("_hot").groupBy("k", "_blk").agg(F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", (-F.col("id")).alias("id"))).alias("hi"))
-    grid = s.select("k", F.explode(F.sequence(F.lit(0), F.size("_splits"))).alias("_blk")).join(ends, ["k", "_blk"], "left")
-    w = Window.partitionBy("k").orderBy("_blk")
-    out = grid.select("k", "_blk", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("hi"), F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("lo"))
-    edge = out.select("k", "_blk", F.explode(F.array("lo", F.when(F.col("hi").isNotNull(), F.struct(F.col("hi.t").alias("t"), (-F.col("hi.id")).alias("id"))))).alias("x")).where("x is not null")
-    cols = [F.col("_blk").cast("long").alias("blk"), "t", "id"]
-    rows = b.select(F.lit(0).cast("long").alias("side"), "k", *cols).union(edge.select(F.lit(0).cast("long"), "k", F.col("_blk").cast("long"), "x.t", "x.id")).union(a.select(F.lit(1).cast("long"), "k", *cols))
+    ends = b.where("_hot").groupBy(*keys, "_blk").agg(F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", (-F.col("id")).alias("id"))).alias("hi"))
+    grid = s.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_splits"))).alias("_blk")).join(ends, [*keys, "_blk"], "left")
+    w = Window.partitionBy(*keys).orderBy("_blk")
+    out = grid.select(*keys, "_blk", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("hi"), F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("lo"))
+    edge = out.select(*keys, "_blk", F.explode(F.array("lo", F.when(F.col("hi").isNotNull(), F.struct(F.col("hi.t").alias("t"), (-F.col("hi.id")).alias("id"))))).alias("x")).where("x is not null")
+    blk = F.col("_blk").cast("long") if whole else F.col("k2").bitwiseOR(F.col("_blk").cast("long"))
+    at = lambda side, d, t, i: d.select(F.lit(side).cast("long").alias("side"), "k", blk.alias("blk"), F.col(t).alias("t"), F.col(i).alias("id"))
+    rows = at(0, b, "t", "id").union(at(0, edge, "x.t", "x.id")).union(at(1, a, "t", "id"))
     return rows.repartition("k", "blk").sortWithinPartitions("side").mapInArrow(_pair(tolerance_s * 1_000_000), "left_id bigint, right_id bigint, gap bigint")

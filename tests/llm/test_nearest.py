@@ -71,3 +71,20 @@ def test_borders_and_empty(spark):
     assert sorted(tuple(r) for r in nearest_join(a, b, "k", "t", "a", "b", 60).collect()) == [(1, 12, 10_000_000), (2, 9, 60_000_000), (3, 11, 51_000_000)]
     assert nearest_join(a.limit(0), b, "k", "t", "a", "b", 60).count() == 0
     assert nearest_join(a, b.limit(0), "k", "t", "a", "b", 60).count() == 0
+
+
+@pytest.mark.parametrize("hot", [10**9, 30])
+def test_text_keys_and_ids(spark, hot, monkeypatch):
+    """Keys that are texts pair by equality, also where a key is cut into blocks; ids that aren't whole numbers are refused."""
+    from pyspark.sql import functions as F
+
+    from siftline.llm import nearest
+
+    rng = np.random.default_rng(5)
+    right = [(int(rng.integers(0, 5)) if rng.random() < 0.5 else 7, int(rng.integers(0, 3000)), i) for i in range(300)]
+    left = [(int(rng.integers(0, 6)) if rng.random() < 0.5 else 7, int(rng.integers(-100, 3100)), i) for i in range(300)]
+    monkeypatch.setattr(nearest, "hot_splits", lambda *a, **k: keyblocks.hot_splits(*a, **(k | {"min_rows": hot})))
+    a, b = (d.withColumn("k", F.concat(F.lit("subject "), F.col("k").cast("string"))) for d in frames(spark, left, right))
+    assert sorted((r[0], r[1]) for r in nearest_join(a, b, "k", "t", "a", "b", 60).collect()) == brute(left, right, 60)
+    with pytest.raises(ValueError):
+        nearest_join(a.withColumn("a", F.col("a").cast("string")), b, "k", "t", "a", "b", 60)
