@@ -64,7 +64,7 @@ def _weights(ids: pd.Series, b: int, share: float) -> np.ndarray:
     return (mixed >> np.uint64(11)) / float(2**53) < share
 
 
-def kmeans(df: DataFrame, dims: int, ks: list[int], starts: int = 4, subsamples: int = 0, share: float = 0.8, steps: int = 15) -> dict:
+def kmeans(df: DataFrame, dims: int, ks: list[int], starts: int = 10, subsamples: int = 0, share: float = 0.8, steps: int = 100) -> dict:
     """{k: (centres, cost)}, the best of the starts for each k; with subsamples (one k only) the centres of each.
 
     df: id, z (checkpointed). All candidates move in the same passes.
@@ -134,7 +134,7 @@ def choose_k(df: DataFrame, dims: int, ks: list[int]) -> tuple[int, np.ndarray,
     return k, found[k][0], cut(labels(df, dims, found[k][0]))
 
 
-def stability(df: DataFrame, dims: int, centres: np.ndarray, b: int = 20, share: float = 0.8) -> list[float]:
+def stability(df: DataFrame, dims: int, centres: np.ndarray, b: int = 50, share: float = 0.8) -> list[float]:
     """For each cluster the mean over subsamples of its best Jaccard overlap with the clusters found there (greedy, one to one)."""
     k = len(centres)
     subs = kmeans(df, dims, [k], subsamples=b, share=share)[k]
@@ -158,7 +158,7 @@ def stability(df: DataFrame, dims: int, centres: np.ndarray, b: int = 20, share:
     return (out / b).tolist()
 
 
-def mixture(df: DataFrame, dims: int, ks: list[int], steps: int = 25) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+def mixture(df: DataFrame, dims: int, ks: list[int], steps: int = 100) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
     """{k: (weights, means, variances, BIC)} of diagonal Gaussian mixtures, by expectation and maximisation in shared passes."""
     init = kmeans(df, dims, ks, steps=5)
     par = {k: (np.full(len(c), 1 / len(c)), c, np.ones_like(c)) for k, (c, _) in init.items()}

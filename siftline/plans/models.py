@@ -126,13 +126,33 @@ def harmonize_combat(spark: SparkSession, d: str) -> DataFrame:
 def harmonize_leakage(spark: SparkSession, d: str) -> DataFrame:
     """How well the embedding tells the largest site, before and after harmonising."""
     out = None
+    largest = co.contract(spark, d).where("site is not null").groupBy("site").count().agg(F.min_by("site", F.struct(-F.col("count"), F.col("site"))).alias("largest"))
     for name, c in (("raw", co.contract(spark, d)), ("combat", co.load(spark, d, "adni:combat").df)):
-        c = c.where("site is not null").withColumn("y", (F.col("site") == "127").cast("int"))
+        c = beside(c.where("site is not null"), largest).withColumn("y", (F.col("site") == F.col("largest")).cast("int"))
         a = ranks.rank_auc(linear.probe(c, "subject_id", "emb", "y"), [], "score", F.col("y")).select(F.lit(name).alias("view"), "auc")
         out = a if out is None else out.unionByName(a)
     return out
 
 
+@query
+def harmonize_area(spark: SparkSession, d: str) -> DataFrame:
+    """The outcome's area by fold, each harmonised with parameters of the other folds only, and the area of raw features."""
+    p = _outcome(spark, d)
+    v = p.select("subject_id", "y", "grp", "site", "age", "sex", "emb")
+    f, out, k = cut(linear.folds(v, "subject_id", "y", "grp", 5)), None, 5
+    for j in range(k):
+        held = F.col("fold")[0] == j
+        h = harmonize.combat(f, "subject_id", "emb", "site", ["age", "sex"], ~held)
+        # two folds: what is held out, and what both parameters and model come from
+        h = cut(h.select(F.col("subject_id").alias("id"), "y", F.col("emb").cast("array<double>").alias("x"), F.array().cast("array<double>").alias("c"), F.array(F.when(held, 0).otherwise(1)).alias("fold")))
+        m = linear.fit_logistic(h, 8, 0, 2, 1, [1])
+        o = linear.out_of_fold(h.where(F.col("fold")[0] == 0), m, 8, 0, "id string, y int").select(F.lit(j).alias("fold"), "y", F.col("p")[0].alias("score"))
+        out = o if out is None else out.unionByName(o)
+    a = ranks.rank_auc(cut(out), ["fold"], "score", F.col("y")).select(F.col("fold").cast("string").alias("fold"), F.lit("harmonised").alias("features"), "pos", "neg", "auc")
+    raw = linear.probe(p, "subject_id", "emb", "y", "grp")
+    return a.unionByName(ranks.rank_auc(raw, [], "score", F.col("y")).select(F.lit("all").alias("fold"), F.lit("raw").alias("features"), "pos", "neg", "auc"))
+
+
 @query
 def harmonize_fold_honest(spark: SparkSession, d: str) -> DataFrame:
     """Harmonised with parameters of one half of the subjects (by hash), the other half only transformed: batch means of both halves."""
@@ -206,12 +226,12 @@ def fusion_attention(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rank_learned(spark: SparkSession, d: str) -> DataFrame:
-    """A learned ranking: rank-normalised signals, gaps as one half, scored out of fold, with its calibration."""
+    """A learned ranking: rank-normalised signals, gaps as one half, each row scored by the model of all others, with its calibration."""
     c = co.contract(spark, d).where("dx in ('AD', 'CN')").withColumn("y", (F.col("dx") == "AD").cast("int")).withColumn("all", F.lit(0))
     for m in ("p_tau217", "gfap", "nfl"):
         c = cut(ranks.rank_normalise(c, ["all"], m, f"{m}_u"))
     c = c.withColumn("x", F.array(*(F.coalesce(f"{m}_u", F.lit(0.5)) for m in ("p_tau217", "gfap", "nfl"))))
-    o = cut(linear.probe(c, "subject_id", "x", "y"))
+    o = cut(linear.leave_one_out(c, "subject_id", "x", "y"))
     return beside(ranks.rank_auc(o, [], "score", F.col("y")), statistics.calibration(o, "score", F.col("y")))
 
 
