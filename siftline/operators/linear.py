@@ -171,10 +171,17 @@ def auto_pca(n: float, width: int) -> int:
 
 @dataclass
 class Models:
+    """What a head gives: the classes, the numbers of repeats and folds, and scores by the model that lacks a fold."""
+
     classes: list[int]
     scales: np.ndarray  # object array (rep, fold) of Scale
     weights: np.ndarray  # (class, rep, fold, 1 + width), NaN where there is no model
 
+    def score(self, x: np.ndarray, cov: np.ndarray, r: int, j: int) -> np.ndarray:
+        """(rows, classes): the scores of rows of fold j of repeat r."""
+        z = np.column_stack([np.ones(len(x)), self.scales[r, j](x, cov)])
+        return 1 / (1 + np.exp(-np.clip(z @ self.weights[:, r, j].T, -40, 40)))
+
 
 def fit_logistic(df: DataFrame, width: int, covariates: int, k: int, reps: int, classes: list[int], c: float = 1.0, steps: int = 40, without: Callable[[int, int], np.ndarray] | None = None) -> Models:
     """Balanced L2 logistic models of each class against the rest, trained on all folds but one. df: x, c, y, fold (checkpointed).
@@ -234,19 +241,18 @@ def fit_logistic(df: DataFrame, width: int, covariates: int, k: int, reps: int,
 
 def out_of_fold(df: DataFrame, models: Models, width: int, covariates: int, keep: str, some: bool = False) -> DataFrame:
     """df's columns of the schema string ``keep`` with ``p``, array with each class's score: mean over repeats of the model that hasn't seen the row; null if a class has none, or with ``some`` NaN for that class."""
-    reps = models.weights.shape[1]
+    reps, k = models.scales.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x, cov, f = matrix(b["x"], width), matrix(b["c"], covariates), np.stack(b["fold"].to_list()) if len(b) else np.zeros((0, reps), int)
             p = np.full((len(b), len(models.classes), reps), np.nan)
             for r in range(reps):
-                for j in range(models.weights.shape[2]):
+                for j in range(k):
                     use = f[:, r] == j
-                    z = np.column_stack([np.ones(use.sum()), models.scales[r, j](x[use], cov[use])])
-                    for i in range(len(models.classes)):
-                        p[use, i, r] = 1 / (1 + np.exp(-np.clip(z @ models.weights[i, r, j], -40, 40)))
-            with np.errstate(all="ignore"):
+                    p[use, :, r] = models.score(x[use], cov[use], r, j)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")  # a mean of nothing is NaN
                 mean = np.nanmean(p, axis=2) if len(b) else p[:, :, 0]
             b = b.drop(columns=["x", "c", "fold"])
             b["p"] = [None if np.isnan(v).any() and not some else v for v in mean]
@@ -255,10 +261,12 @@ def out_of_fold(df: DataFrame, models: Models, width: int, covariates: int, keep
     return df.mapInPandas(run, f"{keep}, p array<double>")
 
 
-def probe(df: DataFrame, id_: str, x: str, y: str, group: str | None = None, covariates: list[str] | None = None, k: int = 5, reps: int = 1, keep: list[str] | None = None) -> DataFrame:
+def probe(df: DataFrame, id_: str, x: str, y: str, group: str | None = None, covariates: list[str] | None = None, k: int = 5, reps: int = 1, keep: list[str] | None = None, head: Callable[[DataFrame, int, int, int, int, list[int]], Models] | None = None) -> DataFrame:
     """Out-of-fold scores: id, y, grp, the columns kept, score (of class 1 for two classes) and scores (by class).
 
-    The number of folds is at most the number of groups and of rows of the smallest class.
+    The number of folds is at most the number of groups and of rows of the smallest class. head fits the models
+    (``fit_logistic`` by default): it gets the rows (x, c, y, fold), the numbers of features, covariates, folds and
+    repeats, and the classes, and gives an object with classes, scales (repeats by folds) and score.
     """
     covariates, keep = covariates or [], keep or []
     v = df.where(F.col(id_).isNotNull() & F.col(y).isNotNull() & F.col(x).isNotNull())
@@ -276,7 +284,7 @@ def probe(df: DataFrame, id_: str, x: str, y: str, group: str | None = None, cov
     width = stats[0]["w"]
     f = cut(folds(v, "id", "y", "grp" if group else None, k, reps))
     use = classes if len(classes) > 2 else classes[1:]
-    models = fit_logistic(f, width, len(covariates), k, reps, use)
+    models = (head or fit_logistic)(f, width, len(covariates), k, reps, use)
     o = out_of_fold(f, models, width, len(covariates), schema)
     whole = F.aggregate("p", F.lit(0.0), lambda a, e: a + e)
     scores = F.transform("p", lambda e: e / whole) if len(classes) > 2 else F.when(F.col("p").isNotNull(), F.array(1 - F.col("p")[0], F.col("p")[0]))

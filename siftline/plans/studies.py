@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.operators import linear, ranks, resample, tables
+from siftline.operators import heads, linear, ranks, resample, tables
 from siftline.plans.measures import _C, _U
 from siftline.session import beside, cut, table
 from siftline.sources import cohort as co
@@ -62,19 +60,12 @@ def dissociation(p: DataFrame) -> DataFrame:
 
 @query("study_mlp_head")
 def study_mlp_head(spark: SparkSession, d: str) -> DataFrame:
-    """A multilayer perceptron (32 hidden) against the linear head, on the same folds."""
-    p = _outcome(spark, d)
-    v = p.select(F.col("subject_id").alias("id"), "y", "grp", F.col("emb").cast("array<double>").alias("x"))
-    f = cut(linear.folds(v, "id", "y", "grp", 3).withColumns({"features": array_to_vector("x"), "label": F.col("y").cast("double"), "k": F.col("fold")[0]}))
-    width = f.agg(F.max(F.size("x"))).first()[0]
-    parts = []
-    for j in range(3):
-        m = MultilayerPerceptronClassifier(layers=[width, 32, 2], maxIter=60, seed=0).fit(f.where(F.col("k") != j).select("features", "label"))
-        parts.append(m.transform(f.where(F.col("k") == j)).select("id", "y", vector_to_array("probability")[1].alias("score")))
-    o = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    a = ranks.rank_auc(o, [], "score", F.col("y")).select(F.lit("perceptron").alias("head"), "auc")
-    lin = ranks.rank_auc(linear.probe(p, "subject_id", "emb", "y", "grp", k=3), [], "score", F.col("y")).select(F.lit("linear").alias("head"), "auc")
-    return a.unionByName(lin)
+    """A perceptron (32 hidden units) and a discriminant against the linear head, on the same folds."""
+    p, out = _outcome(spark, d), None
+    for name, head in (("perceptron", heads.perceptron()), ("discriminant", heads.discriminant), ("linear", None)):
+        o = linear.probe(p, "subject_id", "emb", "y", "grp", head=head).select(F.lit(name).alias("head"), "y", "score")
+        out = o if out is None else out.unionByName(o)
+    return ranks.rank_auc(cut(out), ["head"], "score", F.col("y")).select("head", "auc")
 
 
 @query("study_marker_prediction")
@@ -102,7 +93,14 @@ def study_strata(spark: SparkSession, d: str) -> DataFrame:
     return ranks.rank_auc(c.select("nfl", (F.col("dx") == "AD").cast("int").alias("y"), F.explode(s).alias("stratum")), ["stratum"], "nfl", F.col("y")).where("pos >= 5 and neg >= 5").withColumn("auc", R("auc"))
 
 
-@query("study_power")
+_MID = lambda s, by: f"rank() OVER (PARTITION BY share, rep{by} ORDER BY {s}) + (count(*) OVER (PARTITION BY share, rep{by}, {s}) - 1) / 2"
+
+
+@query("study_power", f"""WITH {_C}, s AS (SELECT subject_id, nfl AS a, gfap AS b, (dx = 'AD')::INT AS y FROM c WHERE dx IN ('AD', 'CN') AND nfl IS NOT NULL AND gfap IS NOT NULL), r AS (SELECT a, b, y, rep, k / 8 AS share FROM s, (SELECT unnest(range(20)) AS rep), (SELECT unnest(range(1, 9)) AS k) WHERE {_U.format("subject_id || ':' || rep")} < k / 8),
+m AS (SELECT *, ({_MID("a", "")}) - ({_MID("a", ", y")}) AS pa, ({_MID("b", "")}) - ({_MID("b", ", y")}) AS pb, sum(y) OVER (PARTITION BY share, rep) AS m, sum(1 - y) OVER (PARTITION BY share, rep) AS n FROM r),
+v AS (SELECT *, CASE WHEN y = 1 THEN pa / n ELSE 1 - pa / m END AS va, CASE WHEN y = 1 THEN pb / n ELSE 1 - pb / m END AS vb FROM m),
+z AS (SELECT share, rep, avg(va) FILTER (y = 1) AS aa, avg(vb) FILTER (y = 1) AS ab, var_samp(va - vb) FILTER (y = 1) / max(m) + var_samp(va - vb) FILTER (y = 0) / max(n) AS vr FROM v GROUP BY ALL)
+SELECT share, count(*) FILTER (vr > 1e-18) AS replicates, round(avg(aa), 4) AS auc_a, round(avg(ab), 4) AS auc_b, round(avg(CASE WHEN vr > 1e-18 THEN ((aa - ab) / sqrt(vr) > 1.6448536269514722)::INT END), 4) AS power FROM z GROUP BY share""")
 def study_power(spark: SparkSession, d: str) -> DataFrame:
     """How often the paired test tells two markers' areas apart in subsamples of growing share."""
     c = co.contract(spark, d).where("dx in ('AD', 'CN') and nfl is not null and gfap is not null").select("subject_id", "nfl", "gfap", (F.col("dx") == "AD").cast("int").alias("y"))

@@ -136,3 +136,19 @@ def test_folds_of_many_groups(spark, monkeypatch):
     c = f.where("g <> 'g1'").groupBy("rep", "fold", "y").count().toPandas()
     for _, own in c.groupby(["rep", "y"])["count"]:
         assert len(own) == 4 and own.max() - own.min() < 0.25 * own.mean()
+
+
+def test_heads(spark):
+    """A problem that no line solves: the perceptron does; on a linear one the closed form is as good as the fitted line."""
+    from siftline.operators import heads, ranks
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    rows = [(str(i), x[i].tolist(), int(x[i, 0] * x[i, 1] > 0), int(x[i, 0] + 0.3 * rng.normal() > 0)) for i in range(400)]
+    df = spark.createDataFrame([*rows, ("n", None, 1, 1)], "id string, x array<double>, cross int, line int")
+    area = lambda y, head: ranks.rank_auc(linear.probe(df, "id", "x", y, head=head, k=3), [], "score", F.col("y")).first()["auc"]
+    assert area("cross", heads.perceptron(alpha=0.01)) > 0.9 > 0.65 > area("cross", None)
+    assert abs(area("line", heads.discriminant) - area("line", None)) < 0.01
+    three = df.withColumn("three", F.floor(F.col("x")[0] * 0.9).cast("int")).where("three between -1 and 1")
+    o = linear.probe(three.withColumn("three", F.col("three") + 1), "id", "x", "three", head=heads.perceptron(hidden=8), k=2)
+    assert o.where("scores is not null and size(scores) = 3").count() == o.count()
