@@ -29,7 +29,56 @@ from pyspark.sql import functions as F
 
 from siftline.session import beside, cut
 
-BLOCK = 2_048
+BLOCK = 4_096
+
+
+def _glide(x: np.ndarray, p: float, coin: np.ndarray) -> np.ndarray:
+    """The flight of records that all have the probability p, x falling: constant work a step.
+
+    As all others move by a + b * x, their probabilities stay a linear function of x, whose bounds are first met at an
+    end of the row, so undecided records stay a window; its sums come from running ones. Ends with at most two
+    undecided, or where the others are all alike.
+    """
+    q, v = np.full(len(x), p), x.tolist()
+    c1, c2 = np.append(0, np.cumsum(x)).tolist(), np.append(0, np.cumsum(x * x)).tolist()
+    lead, own, first, last, a, b = 0, p, 1, len(v) - 1, p, 0.0
+    settled = lambda y: y < 1e-9 or y > 1 - 1e-9
+    for toss in coin.tolist():
+        m = last - first + 1
+        if m < 2:
+            break
+        mean = (c1[last + 1] - c1[first]) / m
+        spread = c2[last + 1] - c2[first] - m * mean * mean
+        d = v[lead] - mean
+        if spread > 1e-10:
+            g = -d / spread
+        elif abs(d) < 1e-9:
+            g = 0.0
+        else:
+            break
+        up, down = 1 - own, own
+        for z in (v[first], v[last]):
+            y, u = a + b * z, g * (z - mean) - 1 / m
+            if u > 1e-15:
+                up, down = min(up, (1 - y) / u), min(down, y / u)
+            elif u < -1e-15:
+                up, down = min(up, -y / u), min(down, (y - 1) / u)
+        step = up if toss * (up + down) < down else -down
+        own, a, b = own + step, a - step * (1 / m + g * mean), b + step * g
+        while first <= last and settled(y := a + b * v[last]):
+            q[last] = round(y)
+            last -= 1
+        while first <= last and settled(y := a + b * v[first]):
+            q[first] = round(y)
+            first += 1
+        if settled(own):
+            q[lead] = round(own)
+            if first > last:
+                return q
+            lead, own, first = first, a + b * v[first], first + 1
+    q[lead] = own
+    q[first : last + 1] = a + b * x[first : last + 1]
+    return q
 
 
 def flight(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -45,6 +94,8 @@ def flight(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.nd
     x = x / max(x.max(initial=1.0), 1.0)
     q[q < 1e-9], q[q > 1 - 1e-9] = 0, 1
     coin, k = rng.random(2 * len(p) + 1), 0
+    if len(q) > 2 and 0 < q[0] < 1 and (q == q[0]).all():
+        q = _glide(x, float(q[0]), rng.random(2 * len(p)))
     live = np.flatnonzero((q > 0) & (q < 1))
     while len(live) > 2:
         z, v = x[live], q[live]
@@ -135,16 +186,19 @@ def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None, block:
     s = s.select("id", "source", F.col("tokens").cast("long").alias("tokens"), "whole", "p", "records")
     schema = "id bigint, source string, tokens bigint, whole int, p double, records bigint, round int"
     done, rest, n, k = [s.where("p = 0").drop("records")], s.where("p > 0"), F.col("records"), 0
-    most = r.agg(F.max("records")).first()[0] or 0
+    most, every = r.agg(F.max("records"), F.sum(F.ceil(F.col("records") / block))).first()
+    most = most or 0
+    # blocks are small but take time: as many tasks as there are blocks, up to the session's number
+    tasks = max(1, min(int(every or 1), int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     while most > block:
         blocks = F.greatest(F.ceil(n / block), F.lit(1))
         # a source with one block waits for its landing
         rest = rest.withColumn("round", F.when(blocks > 1, F.pmod(F.xxhash64("id", F.lit(k)), blocks)).cast("int"))
-        flown = cut(rest.where("round is not null").groupBy("source", "round").applyInPandas(_fly, schema))
+        flown = cut(rest.where("round is not null").repartition(tasks, "source", "round").groupBy("source", "round").applyInPandas(_fly, schema))
         done.append(flown.where("p in (0, 1)").drop("records", "round"))
         rest = rest.where("round is null").unionByName(flown.where("p not in (0, 1)")).drop("round")
         n, k, most = F.when(n > block, 2 * blocks).otherwise(n), k + 1, 2 * -(-most // block)
-    landed = rest.withColumn("round", F.lit(0)).groupBy("source").applyInPandas(_land, schema)
+    landed = rest.withColumn("round", F.lit(0)).repartition(tasks, "source").groupBy("source").applyInPandas(_land, schema)
     done.append(landed.drop("records", "round"))
     out = done[0]
     for d in done[1:]:

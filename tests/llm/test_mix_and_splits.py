@@ -136,3 +136,17 @@ def test_null_sides_of_references_link_nothing(spark, small, tmp_path):
         spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     got = {tuple(r) for r in queries.p4_found(spark, str(tmp_path)).collect()}
     assert got == {(" oas2-1 ", "OAS2_0001"), ("OAS2_0003", "OAS2_0004")}
+
+
+def test_landing_is_near():
+    """One or two changes bring the total to what is due where records allow it; a single record, and none, land too."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([[30_000], rng.integers(1, 400, 200)])
+    p = np.zeros(len(x))
+    p[1:120], p[0] = 1, 0.4
+    due = float((p * x).sum())
+    w = mixture.land(x, p, due)
+    assert set(np.unique(w)) <= {0.0, 1.0} and abs((w * x).sum() - due) < 500
+    assert abs((mixture.land(x[1:], p[1:], float((p[1:] * x[1:]).sum()) + 37) * x[1:]).sum() - (p[1:] * x[1:]).sum() - 37) <= 1
+    assert mixture.land(np.array([5]), np.array([0.9]), 4.5).tolist() == [1.0]
+    assert mixture.land(np.zeros(0), np.zeros(0), 0.0).tolist() == []
