@@ -10,6 +10,7 @@ fewer rows than clusters give as many clusters as there are distinct rows; an em
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators.linear import Scale, matrix, moments, scale_of, total
 from siftline.operators.ranks import hash_unit
-from siftline.session import cut
+from siftline.session import balanced, cut
 
 START = 2_000
 
@@ -64,7 +65,7 @@ def _weights(ids: pd.Series, b: int, share: float) -> np.ndarray:
     return (mixed >> np.uint64(11)) / float(2**53) < share
 
 
-def kmeans(df: DataFrame, dims: int, ks: list[int], starts: int = 10, subsamples: int = 0, share: float = 0.8, steps: int = 100) -> dict:
+def kmeans(df: DataFrame, dims: int, ks: list[int], starts: int = 10, subsamples: int = 0, share: float = 0.8, steps: int = 300) -> dict:
     """{k: (centres, cost)}, the best of the starts for each k; with subsamples (one k only) the centres of each.
 
     df: id, z (checkpointed). All candidates move in the same passes.
@@ -75,31 +76,39 @@ def kmeans(df: DataFrame, dims: int, ks: list[int], starts: int = 10, subsamples
     ks = [k for k in ks if k <= len(np.unique(x, axis=0))] or [1]
     jobs = [(k, s) for k in ks for s in range(subsamples or starts)]
     centres = [_starts(x, k, rng) for k, _ in jobs]
-    cost = np.full(len(jobs), np.inf)
+    cost, moving = np.full(len(jobs), np.inf), list(range(len(jobs)))
+    df = balanced(df, 5_000)
     for _ in range(steps):
-        now = [c.copy() for c in centres]
+        now = {j: centres[j].copy() for j in moving}
 
-        def sums(b: pd.DataFrame) -> np.ndarray:
+        def sums(b: pd.DataFrame, now: dict = now) -> np.ndarray:
             z = matrix(b["z"], dims)
             w = _weights(b["id"], subsamples, share) if subsamples else None
-            out = []
-            for j, c in enumerate(now):
-                d = (z**2).sum(1)[:, None] - 2 * z @ c.T + (c**2).sum(1)
+            c = np.concatenate(list(now.values()))
+            far, at, out = (z**2).sum(1)[:, None] - 2 * z @ c.T + (c**2).sum(1), 0, []  # of all candidates at once
+            for j, own in now.items():
+                d = far[:, at : at + len(own)]
+                at += len(own)
                 near, take = d.argmin(1), w[:, j].astype(float) if w is not None else np.ones(len(z))
-                one = np.eye(len(c))[near] * take[:, None]
+                one = np.eye(len(own))[near] * take[:, None]
                 out += [(one.T @ z).ravel(), one.sum(0), [(d.min(1) * take).sum()]]
             return np.concatenate(out)
 
-        s, at, move = total(df, sums), 0, 0.0
-        for j, (k, _) in enumerate(jobs):
+        s, at, still = total(df, sums), 0, []
+        for j in moving:
             k = len(centres[j])
             t, n = s[at : at + k * dims].reshape(k, dims), s[at + k * dims : at + k * dims + k]
             cost[j] = s[at + k * dims + k]
             at += k * dims + k + 1
             new = np.where(n[:, None] > 0, t / np.maximum(n, 1)[:, None], centres[j])
-            move, centres[j] = max(move, np.abs(new - centres[j]).max()), new
-        if move < 1e-4:
+            if ((new - centres[j]) ** 2).sum() > 1e-4:  # of features of variance 1
+                still.append(j)
+            centres[j] = new
+        moving = still  # candidates that have settled leave the passes
+        if not moving:
             break
+    else:
+        warnings.warn(f"{len(moving)} of {len(jobs)} sets of centres still move after {steps} steps", stacklevel=2)
     if subsamples:
         return {ks[0]: centres}
     return {k: min(((centres[j], cost[j]) for j, (q, _) in enumerate(jobs) if q == k), key=lambda c: c[1]) for k in ks}
@@ -163,6 +172,7 @@ def mixture(df: DataFrame, dims: int, ks: list[int], steps: int = 100) -> dict[i
     init = kmeans(df, dims, ks, steps=5)
     par = {k: (np.full(len(c), 1 / len(c)), c, np.ones_like(c)) for k, (c, _) in init.items()}
     last, out = None, {}
+    df = balanced(df, 5_000)
     for _ in range(steps):
         now = dict(par)
 

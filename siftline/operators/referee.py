@@ -177,12 +177,12 @@ def leaderboard(scores: DataFrame, batches: list[str], numbers: list[str]) -> Da
     return out.orderBy(F.col("share").desc_nulls_last(), "confound")
 
 
-def referee(df: DataFrame, id_: str, emb: str, y: str, site: str, batch: str, covariates: list[str], markers: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tests, verdict, effect) of one outcome; df has dx, age and site for the tests that need them."""
-    effect, scores = naive_effect(df, id_, emb, y, site)
+def referee(df: DataFrame, id_: str, emb: str, y: str, site: str, batch: str, covariates: list[str], markers: list[str], reps: int = REPEATS, n: int = resample.DRAWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tests, verdict, effect) of one outcome; df has dx, age and site for the tests that need them. reps and n are the repeats of the folds and the draws."""
+    effect, scores = naive_effect(df, id_, emb, y, site, reps, n)
     effect = cut(effect)
     tests = covariate_test(df, id_, emb, y, site, covariates, effect)
-    for t in (batch_test(leakage_margin(scores, batch_scores(df, id_, emb, batch, site), "grp")), brain_age_test(df, id_, emb, y, site, effect), biomarker_test(scores, df.select(F.col(id_).cast("string").alias("id"), *markers), markers), replication_test(scores)):
+    for t in (batch_test(leakage_margin(scores, batch_scores(df, id_, emb, batch, site), "grp", n)), brain_age_test(df, id_, emb, y, site, effect), biomarker_test(scores, df.select(F.col(id_).cast("string").alias("id"), *markers), markers), replication_test(scores, n=n)):
         tests = tests.unionByName(t)
     tests = cut(tests)
     return tests, verdict(tests), effect
@@ -224,7 +224,7 @@ def batch_areas(df: DataFrame, id_: str, emb: str, columns: list[str]) -> DataFr
     return out
 
 
-def seed_sweep(df: DataFrame, seeds: list[int], id_: str, emb: str, y: str, site: str, batch: str, covariates: list[str], markers: list[str]) -> tuple[DataFrame, DataFrame]:
+def seed_sweep(df: DataFrame, seeds: list[int], id_: str, emb: str, y: str, site: str, batch: str, covariates: list[str], markers: list[str], reps: int = REPEATS, n: int = resample.DRAWS) -> tuple[DataFrame, DataFrame]:
     """(seed, score, verdict, promoted; one row of the commonest verdict, flip_rate and promotion_rate).
 
     A seed is mixed into the ids and site names that hashes and ties go by, so folds, replicates and
@@ -233,7 +233,7 @@ def seed_sweep(df: DataFrame, seeds: list[int], id_: str, emb: str, y: str, site
     out = None
     for s in seeds:
         mix = lambda c: F.when(c.isNotNull(), F.md5(F.concat_ws("/", F.lit(str(s)), c.cast("string"))))  # noqa: E731, B023
-        _, v, _ = referee(df.withColumns({id_: mix(F.col(id_)), site: mix(F.col(site))}), id_, emb, y, site, batch, covariates, markers)
+        _, v, _ = referee(df.withColumns({id_: mix(F.col(id_)), site: mix(F.col(site))}), id_, emb, y, site, batch, covariates, markers, reps, n)
         v = v.select(F.lit(s).alias("seed"), "score", "verdict", "promoted")
         out = v if out is None else out.unionByName(v)
     out = cut(out)

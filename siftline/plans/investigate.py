@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import routing
-from siftline.operators import clusters, referee, statistics, tables
+from siftline.operators import clusters, referee, resample, statistics, tables
 from siftline.session import beside, cut, table
 from siftline.sources import cohort as co
 
@@ -29,13 +29,13 @@ def prepared(c: DataFrame) -> DataFrame:
     return c.withColumn("male", F.when(F.col("sex") == "M", 1.0).when(F.col("sex") == "F", 0.0))
 
 
-def investigate(spark: SparkSession, d: str, hypothesis: str, dataset: str = "adni", anchor: str | None = None, regions: dict[str, list[int]] | None = None, external: bool = False) -> DataFrame:
+def investigate(spark: SparkSession, d: str, hypothesis: str, dataset: str = "adni", anchor: str | None = None, regions: dict[str, list[int]] | None = None, external: bool = False, reps: int = referee.REPEATS, n: int = resample.DRAWS) -> DataFrame:
     """One row, the card: dataset, target, mode, region, n, auc, lo, hi, p, tests (map of result by key), score, verdict, promoted, rung.
 
     The text names the target and, if ``regions`` maps it to dimensions, the part of the embedding; ``anchor``
     is the marker that the biomarker test tries first. A text without a known target is refused: its verdict
     is "refused" and nothing is fitted. For site and scanner the card holds the mean area over classes and no
-    tests. An unsupervised text is answered by ``discover``.
+    tests. An unsupervised text is answered by ``discover``. reps and n are the work's budget: repeats of the folds, draws.
     """
     t = F.lit(hypothesis)
     said = spark.range(1).select(routing.target(t).alias("target"), routing.mode(t).alias("mode"), routing.region(t).alias("region")).first()
@@ -50,7 +50,7 @@ def investigate(spark: SparkSession, d: str, hypothesis: str, dataset: str = "ad
         a = referee.batch_areas(cut(c), "subject_id", "emb", [said["target"]])
         return a.select(*head, F.col("n").cast("bigint").alias("n"), "auc", *(none("double").alias(x) for x in ("lo", "hi", "p")), none("map<string,string>").alias("tests"), none("int").alias("score"), none("string").alias("verdict"), F.lit(False).alias("promoted"), none("string").alias("rung"))
     markers = [anchor, *(m for m in MARKERS if m != anchor)] if anchor else MARKERS
-    tests, decided, effect = referee.referee(cut(tables.point_head(c, said["target"])), "subject_id", "emb", "y", "site", "scanner", ["age", "male"], markers)
+    tests, decided, effect = referee.referee(cut(tables.point_head(c, said["target"])), "subject_id", "emb", "y", "site", "scanner", ["age", "male"], markers, reps, n)
     climbed = referee.rung(tests, decided, effect, external=external)
     card = beside(beside(beside(effect, decided), tests.agg(F.map_from_entries(F.collect_list(F.struct("key", "result"))).alias("tests"))), climbed)
     return card.select(*head, F.col("n").cast("bigint").alias("n"), "auc", "lo", "hi", "p", "tests", "score", "verdict", "promoted", "rung")

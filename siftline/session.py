@@ -65,6 +65,15 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want // 2 else df
 
 
+def balanced(df: DataFrame, rows: int) -> DataFrame:
+    """A checkpointed df over as many tasks as it has ``rows``, up to the cluster's cores, where it has fewer; for passes that cost much a row."""
+    have, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    if have >= cores:
+        return df
+    want = min(-(-df.count() // rows), cores)
+    return cut(df.repartition(want)) if want > have else df
+
+
 def number(c: str | Column) -> Column:
     """A double with NaN turned to null."""
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
