@@ -11,7 +11,7 @@ still undecided, so that only small ones are left to land.
 Spark runs the flight in blocks of at most about BLOCK records of a source, spread by hash; two undecided
 records may remain of a block, and further rounds fly what remains of all blocks, as many as it takes until each
 source has one block. In that one at most two records remain to land: of the ways to take or leave them the one
-nearest in tokens to what is due, then one or two changes among the block's records if they bring it nearer yet.
+nearest in tokens to what is due, then changes among the block's records, one or two at a time, that bring it nearer yet.
 
 Defined cases: a source without records, or without tokens, is left out and the others' weights are scaled to
 sum to 1 (its reached share is 0); records of a source that isn't a target, or of a null source, aren't
@@ -132,28 +132,31 @@ def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def land(tokens: np.ndarray, p: np.ndarray, due: float) -> np.ndarray:
-    """0 or 1 for each record: of the ways to take or leave the at most two undecided ones the nearest in tokens to what is due, then the one or two changes among all records that bring it nearest yet, if any does."""
+    """0 or 1 for each record: of the ways to take or leave the at most two undecided ones the nearest in tokens to what is due, then changes of one or two records at a time, the best first, as long as they bring it nearer."""
     x, left, ways = tokens.astype(float), np.flatnonzero((p > 0) & (p < 1)), []
     for m in range(1 << len(left)):
         way = p.copy()
         way[left] = [m >> i & 1 for i in range(len(left))]
         ways.append(way)
     w = min(ways, key=lambda w: abs(float((w * x).sum()) - due))
-    off = float((w * x).sum()) - due
-    change = (1 - 2 * w) * x
-    order = np.argsort(change, kind="stable")
-    ranked = change[order]
-    best, flips = abs(off) - 1e-9, ()
-    if len(x) and abs(off + change).min() < best:
-        best, flips = abs(off + change).min(), (int(abs(off + change).argmin()),)
-    for near in (0, 1):  # the partner of each record whose change comes nearest to what remains
-        j = np.clip(np.searchsorted(ranked, -(off + change)) - near, 0, len(x) - 1)
-        gap = np.where(order[j] != np.arange(len(x)), abs(off + change + ranked[j]), np.inf)
-        if len(x) and gap.min() < best:
-            i = int(gap.argmin())
-            best, flips = gap[i], (i, int(order[j[i]]))
-    for i in flips:
-        w[i] = 1 - w[i]
+    for _ in range(len(x)):
+        off = float((w * x).sum()) - due
+        change = (1 - 2 * w) * x
+        order = np.argsort(change, kind="stable")
+        ranked = change[order]
+        best, flips = abs(off) - 1e-9, ()
+        if abs(off + change).min() < best:
+            best, flips = abs(off + change).min(), (int(abs(off + change).argmin()),)
+        for near in (0, 1):  # the partner of each record whose change comes nearest to what remains
+            j = np.clip(np.searchsorted(ranked, -(off + change)) - near, 0, len(x) - 1)
+            gap = np.where(order[j] != np.arange(len(x)), abs(off + change + ranked[j]), np.inf)
+            if gap.min() < best:
+                i = int(gap.argmin())
+                best, flips = gap[i], (i, int(order[j[i]]))
+        if not flips:
+            break
+        for i in flips:
+            w[i] = 1 - w[i]
     return w
 
 
