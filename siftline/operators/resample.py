@@ -287,7 +287,7 @@ def delong(df: DataFrame, keys: list[str], label: Column, a: str, b: str) -> Dat
         v = v.join(c, [*keys, s])
     v = v.join(n, keys)
     for s in ("_sa", "_sb"):
-        v = v.withColumn(f"v{s}", F.when(F.col("_y") == 1, F.col(f"under{s}") / F.col("n")).otherwise(1 - F.col(f"low{s}") / F.col("m")))
+        v = v.withColumn(f"v{s}", F.when(F.col("_y") == 1, F.try_divide(f"under{s}", "n")).otherwise(1 - F.try_divide(f"low{s}", "m")))
     d = F.col("v_sa") - F.col("v_sb")
-    g = v.groupBy(*keys).agg(F.avg(F.when(F.col("_y") == 1, F.col("v_sa"))).alias("auc_a"), F.avg(F.when(F.col("_y") == 1, F.col("v_sb"))).alias("auc_b"), (F.var_samp(F.when(F.col("_y") == 1, d)) / F.first("m") + F.var_samp(F.when(F.col("_y") == 0, d)) / F.first("n")).alias("var"))
+    g = v.groupBy(*keys).agg(F.avg(F.when(F.col("_y") == 1, F.col("v_sa"))).alias("auc_a"), F.avg(F.when(F.col("_y") == 1, F.col("v_sb"))).alias("auc_b"), (F.try_divide(F.var_samp(F.when(F.col("_y") == 1, d)), F.first("m")) + F.try_divide(F.var_samp(F.when(F.col("_y") == 0, d)), F.first("n"))).alias("var"))
     return g.select(*keys, "auc_a", "auc_b", F.when(F.col("var") > 1e-18, (F.col("auc_a") - F.col("auc_b")) / F.sqrt("var")).alias("z"))

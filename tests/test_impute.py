@@ -22,11 +22,12 @@ def test_number_model_against_numpy(spark):
     n, j = ok.sum(), 12
     within = sum(((y - gm[k][0]) ** 2)[ok & (g == k)].sum() for k in range(12))
     e2 = (within - slope * sxy) / (n - j - 1)
-    between = sum(m[2] * (m[0] - mu) ** 2 for m in gm.values())
+    rest = {k: m[0] - mu - slope * (m[1] - mid) for k, m in gm.items()}  # means of residuals, from which the variance between groups comes
+    between = sum(m[2] * rest[k] ** 2 for k, m in gm.items()) - sum(m[2] * rest[k] for k, m in gm.items()) ** 2 / n
     u2 = max((between / (j - 1) - e2) / ((n - sum(m[2] ** 2 for m in gm.values()) / n) / (j - 1)), 0)
     for i in np.flatnonzero(~ok):
         m = gm[g[i]]
-        want = mu + slope * (t[i] - mid) + m[2] * u2 / (m[2] * u2 + e2) * (m[0] - mu - slope * (m[1] - mid))
+        want = mu + slope * (t[i] - mid) + m[2] * u2 / (m[2] * u2 + e2) * rest[g[i]]
         assert abs(got["y"][i] - want) < 1e-5 and got["y_filled"][i]
     assert not got["y_filled"][ok].any() and np.allclose(got["y"][ok], y[ok])
 
