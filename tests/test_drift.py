@@ -155,3 +155,24 @@ def test_notation_in_any_zone(spark):
             assert t.select(micros(t, "t")).first()[0] == 1379503335_000_000
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_recall_of_renames_by_density(spark):
+    """Fields filled in 0.1 % to 100 % of 4,000 records, two renames of each density: all are found, and nothing else."""
+    import random
+
+    rnd, densities, rows, want = random.Random(11), [0.001, 0.005, 0.05, 0.5, 1.0], [], set()
+    for f in range(2):
+        feed, old, new = f"f{f}", {}, {}
+        for k, d in enumerate(densities):
+            for copy in range(1):
+                name = f"{k}_{copy}"
+                want.add((feed, 2, "renamed", f"new {name}", f"old {name}"))
+                for r in rnd.sample(range(4000), round(4000 * d)):
+                    v = rnd.randint(0, 10**9)
+                    old.setdefault(r, {})[f"old {name}"] = v
+                    new.setdefault(r, {})[f"new {name}"] = v
+        rows += [(feed, 1, r, x) for r, x in old.items()] + [(feed, 2, r, x) for r, x in new.items()]
+    got = {tuple(r) for r in drift.changes(exports(spark, rows)).collect()}
+    by = {d: sum(x[3].split()[1][0] == str(k) for x in got & want) / 2 for k, d in enumerate(densities)}
+    assert got == want, by
