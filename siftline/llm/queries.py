@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm import mixture, nearest, pieces, splits, tokenizer
 from siftline.operators.components import components
-from siftline.session import cut, spread, table
+from siftline.session import beside, cut, spread, table
 from siftline.sources.clinical import current_visits, oasis_key, oasis_subject
 
 
@@ -95,7 +95,8 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     s = cut(p4_splits(spark, d))
     whole = s.groupBy("cohort", "component").agg(F.count("*").alias("n")).groupBy("cohort").agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
     got = s.groupBy("cohort", "split").agg(F.count("*").alias("rows"))
-    r = whole.crossJoin(F.broadcast(table(spark, d, "split_targets"))).join(got, ["cohort", "split"], "left")  # a few cohorts by a few splits
+    targets = table(spark, d, "split_targets").agg(F.collect_list(F.struct("split", "share")).alias("targets"))  # a few splits
+    r = beside(whole, targets).select("*", F.inline("targets")).join(got, ["cohort", "split"], "left")
     return r.select("cohort", "split", "share", "total", (F.abs(F.coalesce("rows", F.lit(0)) - F.col("share") * F.col("total")) <= F.greatest(F.lit(1), F.col("largest") / 2)).alias("near"))
 
 
