@@ -108,7 +108,8 @@ def kmeans(df: DataFrame, dims: int, ks: list[int], starts: int = 10, subsamples
         if not moving:
             break
     else:
-        warnings.warn(f"{len(moving)} of {len(jobs)} sets of centres still move after {steps} steps", stacklevel=2)
+        if steps >= 100:  # fewer are asked for on purpose
+            warnings.warn(f"{len(moving)} of {len(jobs)} sets of centres still move after {steps} steps", stacklevel=2)
     if subsamples:
         return {ks[0]: centres}
     return {k: min(((centres[j], cost[j]) for j, (q, _) in enumerate(jobs) if q == k), key=lambda c: c[1]) for k in ks}
