@@ -8,8 +8,10 @@ leaf and that leaf's left neighbour. The nearer one within the tolerance is the
 
 Spark partitions both tables by entity; an entity with very many rows is cut into blocks along time
 (siftline.operators.keyblocks), and the last leaf before and the first after each block are added to it, so
-that every block's answer is final. Within a task the tables are numpy arrays and all queries of an Arrow
-batch move together; memory holds the leaves of one partition, queries stream.
+that every block's answer is final. Within a task rows come entity by entity (or block by block), leaves before
+queries, and every CHUNK rows the tries of the entities in hand are built as numpy arrays, all queries so far move
+through them together, and all is dropped but the leaves of the entity still open. So memory holds about CHUNK rows
+and one entity's or block's distinct times, however large a partition is.
 
 Defined cases: rows with a null key, time or id on either side have no partner; of equal distances the earlier
 time counts, of equal times the smallest id; a distance of exactly the tolerance is within; equal times match
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from siftline.functions.notation import micros
 from siftline.operators.keyblocks import hot_splits, with_block
 
+CHUNK = 50_000  # rows of a partition that are in memory at a time; a leaf takes up to 2 kB in the tables of all lengths
 BLOCK_BITS = 20  # blocks of a key are numbered from 0 to under 2^20, as keyblocks makes fewer
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -66,17 +69,23 @@ class PairTable:
         return out
 
 
+def _distinct(key: np.ndarray, block: np.ndarray, time: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    """The leaves in order, of equal times of an entity the one with the smallest id."""
+    order = np.lexsort((ids, time, block, key))
+    cols = [x[order] for x in (key, block, time, ids)]
+    keep = np.ones(len(key), bool)
+    keep[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in cols[:3]])
+    return [x[keep] for x in cols]
+
+
 class XFastTries:
     """Tries over the times of many entities (pairs key, block); equal times keep the smallest id."""
 
     def __init__(self, key: np.ndarray, block: np.ndarray, time: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, time, block, key))
-        key, block, time, ids = (x[order] for x in (key, block, time, ids))
+        key, block, self.time, self.ids = _distinct(key, block, time, ids)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-        keep = new.copy()
-        keep[1:] |= time[1:] != time[:-1]
-        self.entity, self.time, self.ids = (np.cumsum(new) - 1)[keep], time[keep], ids[keep]
+        self.entity = np.cumsum(new) - 1
         self.entities = PairTable(key[new], block[new])
         self.base = int(self.time.min()) if len(self.time) else 0
         self.unit = max(1, int(np.gcd.reduce(self.time - self.base))) if len(self.time) else 1
@@ -138,28 +147,46 @@ class XFastTries:
 def _pair(tolerance: int):
     schema = pa.schema([("left_id", pa.int64()), ("right_id", pa.int64()), ("gap", pa.int64())])
 
+    def answer(leaves: list[np.ndarray], queries: list[np.ndarray]) -> pa.RecordBatch:
+        tries = XFastTries(*leaves)
+        key, block, time, ids = queries
+        before, after = tries.around(key, block, time)
+        far = np.int64(2**62)
+        if len(tries.time):
+            d0, d1 = np.where(before >= 0, time - tries.time[before], far), np.where(after >= 0, tries.time[after] - time, far)
+        else:
+            d0 = d1 = np.full(len(time), far)
+        gap, leaf = np.minimum(d0, d1), np.where(d0 <= d1, before, after)
+        ok = gap <= tolerance
+        return pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(tries.ids[leaf[ok]]), pa.array(gap[ok])], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves: list[list[np.ndarray]] = []
-        tries = None
+        # rows (place, key, block, time, id) come by place, whose last bit is the side: a query's leaves have all come before it
+        rows: list[list[np.ndarray]] = []
+        count = 0
+
+        def settle() -> tuple[pa.RecordBatch | None, list[np.ndarray]]:
+            """The pairs of the queries in hand, and the leaves of the last place, which more queries or leaves may follow."""
+            cols = [np.concatenate(x) for x in zip(*rows, strict=True)]
+            side = cols[0] & 1
+            leaves, queries = [c[side == 0] for c in cols], [c[side == 1] for c in cols[1:]]
+            out = answer(leaves[1:], queries) if len(queries[0]) else None
+            place = cols[0][-1] & ~1
+            kept = _distinct(*(c[leaves[0] == place] for c in leaves[1:]))
+            return out, [np.full(len(kept[0]), place), *kept]
+
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]
-            side = cols[0]
-            if (side == 0).any():
-                leaves.append([c[side == 0] for c in cols[1:]])
-            key, block, time, ids = (c[side == 1] for c in cols[1:])
-            if not len(key):
-                continue
-            if tries is None:  # rows come sorted by side, so all leaves are there
-                tries = XFastTries(*(np.concatenate([x[i] for x in leaves]) if leaves else np.zeros(0, np.int64) for i in range(4)))
-            before, after = tries.around(key, block, time)
-            far = np.int64(2**62)
-            if len(tries.time):
-                d0, d1 = np.where(before >= 0, time - tries.time[before], far), np.where(after >= 0, tries.time[after] - time, far)
-            else:
-                d0 = d1 = np.full(len(time), far)
-            gap, leaf = np.minimum(d0, d1), np.where(d0 <= d1, before, after)
-            ok = gap <= tolerance
-            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(tries.ids[leaf[ok]]), pa.array(gap[ok])], schema=schema)
+            rows.append([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
+            count += batch.num_rows
+            if count >= CHUNK:
+                out, kept = settle()
+                rows, count = [kept], 0
+                if out is not None:
+                    yield out
+        if count:
+            out, _ = settle()
+            if out is not None:
+                yield out
 
     return run
 
@@ -191,5 +218,7 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, time: str, left_id
     edge = out.select(*keys, "_blk", F.explode(F.array("lo", F.when(F.col("hi").isNotNull(), F.struct(F.col("hi.t").alias("t"), (-F.col("hi.id")).alias("id"))))).alias("x")).where("x is not null")
     blk = F.col("_blk").cast("long") if whole else F.col("k2").bitwiseOR(F.col("_blk").cast("long"))
     at = lambda side, d, t, i: d.select(F.lit(side).cast("long").alias("side"), "k", blk.alias("blk"), F.col(t).alias("t"), F.col(i).alias("id"))
-    rows = at(0, b, "t", "id").union(at(0, edge, "x.t", "x.id")).union(at(1, a, "t", "id"))
-    return rows.repartition("k", "blk").sortWithinPartitions("side").mapInArrow(_pair(tolerance_s * 1_000_000), "left_id bigint, right_id bigint, gap bigint")
+    rows = at(0, b, "t", "id").union(at(0, edge, "x.t", "x.id")).union(at(1, a, "t", "id")).repartition("k", "blk")
+    # one number to sort by: a hash of the entity's block, then the side; of two with the same hash, both have their leaves first
+    place = F.xxhash64("k", "blk").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("side"))
+    return rows.select(place.alias("place"), "k", "blk", "t", "id").sortWithinPartitions("place").mapInArrow(_pair(tolerance_s * 1_000_000), "left_id bigint, right_id bigint, gap bigint")

@@ -3,6 +3,7 @@
 import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,3 +89,69 @@ def test_text_keys_and_ids(spark, hot, monkeypatch):
     assert sorted((r[0], r[1]) for r in nearest_join(a, b, "k", "t", "a", "b", 60).collect()) == brute(left, right, 60)
     with pytest.raises(ValueError):
         nearest_join(a.withColumn("a", F.col("a").cast("string")), b, "k", "t", "a", "b", 60)
+
+
+def chunks(right, left, size):
+    """Rows as they come to a task: entity by entity, leaves first, in batches of size rows."""
+    cols = np.concatenate([np.stack([2 * x[0] + side, x[0], 0 * x[0], x[1], x[2]]) for side, x in ((0, right), (1, left))], axis=1)
+    cols = cols[:, np.argsort(cols[0], kind="stable")]
+    for i in range(0, cols.shape[1], size):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], names=["place", "k", "blk", "t", "id"])
+
+
+def test_memory_of_a_large_partition(monkeypatch):
+    """Tries in memory follow CHUNK, not the partition: 300,000 rows of 20,000 entities never stand in them at once."""
+    from siftline.llm import nearest
+
+    sizes = []
+
+    class Watched(XFastTries):
+        def __init__(self, *a):
+            super().__init__(*a)
+            sizes.append(len(self.time))
+
+    monkeypatch.setattr(nearest, "XFastTries", Watched)
+    n, m, rng = 240_000, 60_000, np.random.default_rng(8)
+    right = np.stack([rng.integers(0, 20_000, n), rng.integers(0, 10**9, n), np.arange(n)])
+    left = np.stack([rng.integers(0, 20_000, m), rng.integers(0, 10**9, m), np.arange(m)])
+    out = pa.Table.from_batches(nearest._pair(10**9)(chunks(right, left, 10_000)))
+    assert sum(sizes) >= n * 0.99
+    assert max(sizes) <= 60_000
+    order = np.lexsort((right[1], right[0]))
+    at, want = right[0][order] * 2**40 + right[1][order], left[0] * 2**40 + left[1]
+    pos = np.searchsorted(at, want)
+    gaps = [np.where((p >= 0) & (p < n) & (right[0][order][np.clip(p, 0, n - 1)] == left[0]), np.abs(right[1][order][np.clip(p, 0, n - 1)] - left[1]), 2**60) for p in (pos - 1, pos)]
+    gap = np.minimum(*gaps)
+    assert dict(zip(out["left_id"].to_pylist(), out["gap"].to_pylist(), strict=True)) == {i: g for i, g in enumerate(gap.tolist()) if g < 2**60}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 40, 10**6])
+@pytest.mark.parametrize("size", [1, 10, 1000])
+def test_chunks_as_brute_force(chunk, size, monkeypatch):
+    """Entities that begin, go on and end anywhere in a chunk, and such without leaves or queries; repeated times stand once in memory."""
+    from siftline.llm import nearest
+
+    monkeypatch.setattr(nearest, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    right = [(int(rng.integers(0, 6)) if rng.random() < 0.6 else 3, int(rng.integers(0, 60)), i) for i in range(150)]
+    left = [(int(rng.integers(1, 8)) if rng.random() < 0.6 else 3, int(rng.integers(-5, 70)), i) for i in range(120)]
+    got = [b.to_pydict() for b in nearest._pair(4)(chunks(np.array(right).T, np.array(left).T, size))]
+    assert sorted((i, j) for b in got for i, j in zip(b["left_id"], b["right_id"], strict=True)) == brute(left, right, 4)
+
+
+def test_join_in_small_chunks(spark, monkeypatch):
+    """The order of rows that the join gives its tasks: with chunks of a few rows the pairs are the same."""
+    from siftline.llm import nearest
+
+    rng = np.random.default_rng(11)
+    right = [(int(rng.integers(0, 40)), int(rng.integers(0, 900)), i) for i in range(400)]
+    left = [(int(rng.integers(0, 42)), int(rng.integers(0, 900)), i) for i in range(300)]
+    monkeypatch.setattr(nearest, "CHUNK", 5)
+    monkeypatch.setattr(nearest, "hot_splits", lambda *a, **k: keyblocks.hot_splits(*a, **(k | {"min_rows": 12})))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = nearest_join(*frames(spark, left, right), "k", "t", "a", "b", 30).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert sorted((r[0], r[1]) for r in got) == brute(left, right, 30)
